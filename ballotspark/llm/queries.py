@@ -1,8 +1,9 @@
 """The registered queries opN_<name>, and the SQL of those that SQL can express."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ballotspark.llm import bpe_transducer
+from ballotspark.llm import bpe_transducer, line_dedup, quality_mil, toxicity_cnn
 from ballotspark.llm.tables import table
 
 
@@ -13,9 +14,46 @@ def vocabulary_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup(docs, line_dedup.build(docs, min_docs=10, min_chars=1))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_cnn.score(docs, toxicity_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file())
 
 
-QUERIES = {"op6_token_counts": op6_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+#: A word character in a key is lower-cased only from A-Z, so not by lower().
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), keyed AS (
+  SELECT *, {_FOLD.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM lines
+), often AS (
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k IN (FROM often)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k NOT IN (FROM often)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id
+"""
+
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op6_token_counts": op6_token_counts,
+}
+ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
