@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotspark.llm import bpe_transducer, line_dedup, quality_mil, toxicity_cnn
+from ballotspark.llm import bpe_transducer, decontamination, line_dedup, quality_mil, toxicity_cnn
 from ballotspark.llm.tables import table
 
 
@@ -14,6 +14,12 @@ def vocabulary_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    items = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +43,30 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A word character in a key is lower-cased only from A-Z, so not by lower().
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP1_SQL = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS words
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS s FROM iw)
+), grams AS (
+  SELECT doc_id, size, s, array_to_string(list_slice(w, s, s + size - 1), ' ') AS words
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM dw, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), found AS (
+  SELECT doc_id, item_id, s, size FROM grams JOIN windows USING (size, words)
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 OP3_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
@@ -51,9 +81,10 @@ FROM keyed GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
 }
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL}
