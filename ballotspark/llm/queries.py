@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotspark.llm import bpe_transducer, decontamination, line_dedup, quality_mil, toxicity_cnn
-from ballotspark.llm.tables import table
+from ballotspark.llm import backoff_lm, bpe_transducer, decontamination, line_dedup, quality_mil, sentencepiece_lattice, toxicity_cnn
+from ballotspark.llm.tables import fold_of, table
 
 
 def vocabulary_file(name: str = "piece_bpe_32k.model") -> str:
@@ -40,6 +40,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file())
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff_lm.scores(table(spark, sf_dir, "documents"), fold_of() != 1)
+    return out.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text, and the digest of what they decode to."""
+    model = vocabulary_file()
+    out = sentencepiece_lattice.decode(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 #: A word character in a key is lower-cased only from A-Z, so not by lower().
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -86,5 +99,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scores": op7_lm_scores,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL}
