@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotspark.llm import backoff_lm, bpe_transducer, decontamination, line_dedup, quality_mil, sentencepiece_lattice, toxicity_cnn
+from ballotspark.llm import backoff_lm, bm25_wand, bpe_transducer, decontamination, line_dedup, quality_mil, sentencepiece_lattice, toxicity_cnn
 from ballotspark.llm.tables import fold_of, table
 
 
@@ -45,6 +45,13 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the benchmark's rows with an id divisible by 20, whole texts, against all documents."""
+    queries = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "text")
+    out = bm25_wand.search(bm25_wand.index(table(spark, sf_dir, "documents")), queries, k=10)
+    return out.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each text, and the digest of what they decode to."""
     model = vocabulary_file()
@@ -93,6 +100,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k IN (FROM often)) AS n_dro
 FROM keyed GROUP BY doc_id
 """
 
+OP8_SQL = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM dw),
+qw AS (SELECT item_id AS query_id, unnest(list_distinct(w)) AS word FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id % 20 = 0)),
+tf AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM dw) WHERE word IN (SELECT word FROM qw) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+scored AS (
+  SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))), 9) AS score
+  FROM qw JOIN tf USING (word) JOIN df USING (word), n GROUP BY query_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored
+)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -100,6 +122,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
+    "op8_bm25_search": op8_bm25_search,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_bm25_search": OP8_SQL}
