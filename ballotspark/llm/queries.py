@@ -3,7 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotspark.llm import backoff_lm, bm25_wand, bpe_transducer, decontamination, line_dedup, quality_mil, sentencepiece_lattice, toxicity_cnn
+from ballotspark.llm import (
+    backoff_lm,
+    bm25_wand,
+    bpe_transducer,
+    decontamination,
+    jaccard_rtree,
+    line_dedup,
+    quality_mil,
+    sentencepiece_lattice,
+    suffix_dedup,
+    toxicity_cnn,
+)
 from ballotspark.llm.tables import fold_of, table
 
 
@@ -36,6 +47,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.score(docs, toxicity_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file())
 
@@ -52,6 +67,10 @@ def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each text, and the digest of what they decode to."""
     model = vocabulary_file()
@@ -100,6 +119,44 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k IN (FROM often)) AS n_dro
 FROM keyed GROUP BY doc_id
 """
 
+#: Bytes as hexadecimal digits, two each.
+OP5_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+grams AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM docs WHERE n >= 50)),
+hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY md5(g)) AS least FROM grams) WHERE least < doc_id),
+begun AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM begun) GROUP BY doc_id, k
+), kept AS (
+  SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS low, a AS high FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), max(n) FROM docs LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS h FROM kept JOIN docs USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(texts.h)) AS kept_sha256
+FROM docs JOIN texts USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, s, s + least(3, len(w)) - 1), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS s FROM dw WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id AND 100 * least(na.n, nb.n) >= 90 * greatest(na.n, nb.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(na.n) + max(nb.n) - count(*))
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_other, doc_id)) AS component_id
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least_other FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 OP8_SQL = f"""
 WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM dw),
@@ -120,9 +177,17 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
     "op8_bm25_search": op8_bm25_search,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_bm25_search": OP8_SQL}
+ORACLE_SQL = {
+    "op1_decontamination": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op8_bm25_search": OP8_SQL,
+    "op9_jaccard_join": OP9_SQL,
+}
