@@ -156,3 +156,14 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     out = docs.select("doc_id", "text", (fold_of() == 0).alias("held_out")).mapInArrow(scores, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the threshold. docs needs a column text."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in B.doc_blocks(batches):
+            s = np.full(rows.num_rows, model["share"]) if "share" in model else forward(model, *passages(data, at))["score"]
+            yield rows.filter(pa.array(s.astype(np.float64) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
