@@ -1,9 +1,10 @@
 """Benchmark decontamination by a positional inverted index (operator 1). DataFrame operations only.
 
-Postings (term, document, position) of the benchmark's terms are stored once. For each benchmark window the list of
-its rarest term, by the stored counts, is taken first; shifted by the term's place in the item, a posting names a
-diagonal: the place in the document where the item would begin. The other terms' places follow from the diagonal,
-and a diagonal's intersection is completed with the words that the document has there, so matches are exact.
+Postings (term, document, position) of the benchmark's terms are stored once. For each benchmark window the lists of
+its two rarest terms, by the stored counts, are intersected first: shifted by a term's place in the item, a posting
+names a diagonal, the place in the document where the item would begin, and both terms must name the same one. The
+other terms' places follow from the diagonal; the intersection is completed with the words that the document has
+there, so matches are exact.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -46,14 +47,15 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, iw, size): the words of each distinct item that has any, and its window's length. Null ids are left out."""
+    """(ik, item_id, iw, size): the words of each distinct item that has any, its window's length, and a key (a hash).
+    Null ids are left out."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
-    return items.withColumn("size", F.least(F.lit(window), F.size("iw")))
+    return items.withColumn("ik", F.xxhash64("item_id", "iw")).withColumn("size", F.least(F.lit(window), F.size("iw")))
 
 
 def terms_of(items: DataFrame) -> DataFrame:
-    """(item_id, iw, p, term): the words of each item by place."""
-    return items.select("item_id", "iw", "size", F.posexplode("iw").alias("p", "term"))
+    """(ik, size, length, p, term): the words of each item by place."""
+    return items.select("ik", "size", F.size("iw").alias("length"), F.posexplode("iw").alias("p", "term"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -66,22 +68,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[Da
     postings = index(docs, terms_of(items))
     counts = postings.where(F.col("term").isNotNull()).groupBy(F.col("term").alias("code")).count()
     placed = terms_of(items).withColumn("code", F.xxhash64("term")).join(counts, "code", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    # every window's rarest place; a place serves all windows that it is the rarest of
-    starts = placed.withColumn("s", F.explode(F.expr("sequence(greatest(p - size + 1, 0), least(p, size(iw) - size))")))
-    rarest = starts.groupBy("item_id", "iw", "s").agg(F.min(F.struct("count", "p", "code")).alias("r"))
-    anchors = written(rarest.where("r.count > 0").select("item_id", "iw", F.col("r.p").alias("p"), F.col("r.code").alias("term")).distinct(), "anchors")
-    diagonals = postings.select("doc_id", "uid", "pos", "term").join(_small(anchors), "term").select("doc_id", "uid", "item_id", "iw", (F.col("pos") - F.col("p")).alias("d")).distinct()
-    by_doc = written(diagonals.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("item_id", "iw", "d")).alias("found")), "diagonals")
-    # rows that are alike in id and text give the same hits; they are counted as sets
+    # the two rarest places of every window; one pair serves all windows that share it
+    starts = placed.withColumn("s", F.explode(F.expr("sequence(greatest(p - size + 1, 0), least(p, length - size))")))
+    rarest = starts.groupBy("ik", "s").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "p", "code"))), 1, 2).alias("r"))
+    pairs = rarest.where(F.col("r")[0]["count"] > 0).select("ik", F.transform("r", lambda x: F.struct(x.p.alias("p"), x.code.alias("term"))).alias("r")).distinct()
+    ends = pairs.select("ik", F.xxhash64("ik", F.col("r.p")).alias("pair"), F.size("r").alias("need"), F.posexplode("r").alias("end", "x"))
+    anchors = written(ends.select("ik", "pair", "need", "end", F.col("x.p").alias("p"), F.col("x.term").alias("term")), "anchors")
+    shifted = postings.select("doc_id", "uid", "pos", "term").join(_small(anchors), "term").select("doc_id", "uid", "ik", "pair", "need", (F.col("pos") - F.col("p")).alias("d"), "end")
+    both = shifted.groupBy("doc_id", "uid", "ik", "pair", "need", "d").agg(F.min("end").alias("low"), F.max("end").alias("high")).where((F.col("low") == 0) & (F.col("high") == F.col("need") - 1))
+    by_doc = written(both.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("ik", "d")).alias("found")), "diagonals")
     texts = docs.select("doc_id", F.xxhash64("text").alias("uid"), "text")
     keys = by_doc.select(F.col("doc_id").alias("d_id"), F.col("uid").alias("d_uid"), "found")
-    near = texts.join(_small(keys, 50_000), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("uid") == F.col("d_uid")))
-    near = near.select("doc_id", "uid", words(F.col("text")).alias("w"), "found")
-    cut = F.transform("found", lambda x: F.struct(x.item_id.alias("item_id"), x.iw.alias("iw"), x.d.alias("d"), F.slice(F.col("w"), F.greatest(x.d, F.lit(0)) + 1, F.size(x.iw)).alias("there")))
-    near = near.select("doc_id", "uid", F.explode(cut).alias("c")).select("doc_id", "uid", "c.*")
+    near = texts.join(_small(keys), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("uid") == F.col("d_uid")))
+    near = near.select("doc_id", "uid", words(F.col("text")).alias("w"), "found").select("doc_id", "uid", "w", F.explode("found").alias("x"))
+    near = near.select("doc_id", "uid", "w", F.col("x.ik").alias("ik"), F.col("x.d").alias("d")).join(_small(items), "ik")
+    near = near.select("doc_id", "uid", "item_id", "iw", "size", "d", F.slice("w", F.greatest("d", F.lit(0)) + 1, F.size("iw")).alias("there"))
     lead = F.greatest(-F.col("d"), F.lit(0))
     same = F.transform("iw", lambda w, p: F.coalesce((p >= lead) & (F.get(F.col("there"), F.greatest(p - lead, F.lit(0))) == w), F.lit(False)))
-    near = near.withColumn("same", same).withColumn("size", F.least(F.lit(window), F.size("iw")))
+    near = near.select("doc_id", "uid", "item_id", "iw", "size", "d", same.alias("same"))
     whole = F.filter(F.sequence(F.lit(0), F.size("iw") - F.col("size")), lambda s: F.forall(F.slice(F.col("same"), s + 1, F.col("size")), lambda x: x))
     hit = F.array_distinct(F.flatten(F.transform(whole, lambda s: F.sequence(F.col("d") + s, F.col("d") + s + F.col("size") - 1))))
     hits = near.select("doc_id", "uid", "item_id", hit.alias("hit")).where(F.size("hit") > 0)
@@ -119,9 +123,9 @@ def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 20) -> DataFram
     match nothing.
     """
     items = items_of(benchmark, 1).withColumn("distinct", F.size(F.array_distinct("iw"))).where(F.col("distinct") <= span)
-    terms = terms_of(items.select("item_id", "iw", "size")).select("item_id", "term").distinct()
-    wanted = terms.join(items.select("item_id", "distinct"), "item_id").select("item_id", "distinct", F.xxhash64("term").alias("term"))
+    terms = terms_of(items).select("ik", "term").distinct()
+    wanted = terms.join(items.select("ik", "item_id", "distinct"), "ik").select("ik", "item_id", "distinct", F.xxhash64("term").alias("term"))
     postings = index(docs, terms).where(F.col("term").isNotNull())
-    ahead = W.partitionBy("doc_id", "uid", "item_id").orderBy("pos").rangeBetween(0, span - 1)
+    ahead = W.partitionBy("doc_id", "uid", "ik").orderBy("pos").rangeBetween(0, span - 1)
     found = postings.select("doc_id", "uid", "pos", "term").distinct().join(_small(wanted), "term")
     return found.withColumn("held", F.size(F.collect_set("term").over(ahead))).where(F.col("held") == F.col("distinct")).select("doc_id", "uid", "item_id", "pos")
