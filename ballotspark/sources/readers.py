@@ -53,7 +53,7 @@ def last_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str, value: str = "n_solved") -> DataFrame:
     """A JSON object {id: number} as (id, number)."""
-    return spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "MAP<STRING,INT>")).alias("id", value))
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "MAP<STRING,INT>")).alias("id", value))
 
 
 #: The parts of a generation file's name.
@@ -86,7 +86,7 @@ def read_reports(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     rows = []
     for name, path in paths.items():
         if exists(spark, path):
-            text = spark.read.option("wholetext", True).text(path).first()["value"]
+            text = spark.read.text(path, wholetext=True).first()["value"]
             rows += [(name, p, v) for p, v in _leaves(json.loads(text), "")]
     return spark.createDataFrame(rows, "report STRING, path STRING, value STRING")
 
