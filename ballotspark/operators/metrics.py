@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballotspark.functions.normal import normal_quantile
-from ballotspark.operators.voting import RULES, majority, winners, zscore
+from ballotspark.operators.voting import RULES, answer_scores, fused_weight, majority, winners
 
 #: Weights that a sweep tries; the last one stands for the score alone.
 GAMMAS = [0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 8.0, 1e9]
@@ -175,10 +175,7 @@ def gamma_sweep(pool: DataFrame, gold: DataFrame, scores: dict[str, tuple[str, s
     grid = pool.sparkSession.createDataFrame([(float(g),) for g in (gammas or GAMMAS)], "gamma double")
     out = None
     for tag, (column, how) in scores.items():
-        z = pool.withColumn("z", zscore(F.col(column))).groupBy("id", "ans").agg(F.count("*").alias("n"), F.avg("z").alias("mean"), F.max("z").alias("most"), F.min("j").alias("first_j"))
-        score = F.col("mean") if how == "mean" else F.col("most")
-        weight = F.when(F.col("gamma") >= 1e8, F.col("most")).otherwise(F.log("n") + F.col("gamma") * score)
-        votes = z.crossJoin(F.broadcast(grid)).withColumn("weight", weight)  # the grid has a fixed number of weights
+        votes = answer_scores(pool, column).crossJoin(F.broadcast(grid)).withColumn("weight", fused_weight(F.col("gamma"), how))  # the grid has a fixed number of weights
         best = winners(votes.withColumn("id", F.struct("id", "gamma"))).select("id.id", "id.gamma", "answer")
         hit = F.coalesce(F.col("answer") == F.col("gold"), F.lit(False)).cast("double")
         part = best.join(gold, "id").groupBy("gamma").agg(F.round(F.avg(hit), 4).alias("acc")).select(F.lit(tag).alias("tag"), "gamma", "acc")

@@ -37,11 +37,12 @@ def vote(rows: DataFrame, weight: Column | None = None, tie: str = "answer_asc")
     return winners(rows.groupBy("id", "ans").agg(weight.cast("double").alias("weight"), F.min("j").alias("first_j")), tie)
 
 
-def zscore(value: Column) -> Column:
-    """Standardised within the id, over all its samples; 0 for null, and where fewer than two have a value."""
-    sd = F.stddev_samp(value).over(by_id())
-    z = (value - F.avg(value).over(by_id())) / F.when(sd > 0, sd).otherwise(1.0)
-    return F.when(F.count(value).over(by_id()) < 2, 0.0).otherwise(F.coalesce(z, F.lit(0.0)))
+def with_zscore(pool: DataFrame, column: str, out: str = "z") -> DataFrame:
+    """pool with a column standardised within the id, over all its samples; 0 for null, and where fewer than two have a
+    value. The moments are partial sums joined back, so that a large id can be split between tasks."""
+    moments = pool.groupBy("id").agg(F.avg(column).alias("__mu"), F.stddev_samp(column).alias("__sd"), F.count(column).alias("__m"))
+    z = (F.col(column) - F.col("__mu")) / F.when(F.col("__sd") > 0, F.col("__sd")).otherwise(1.0)
+    return pool.join(moments, "id").withColumn(out, F.when(F.col("__m") < 2, 0.0).otherwise(F.coalesce(z, F.lit(0.0)))).drop("__mu", "__sd", "__m")
 
 
 def upper_median(value: Column) -> Column:
@@ -90,14 +91,14 @@ def combined(pool: DataFrame, tie: str = "answer_asc") -> DataFrame:
 
 def logp_soft(pool: DataFrame, tie: str = "answer_asc") -> DataFrame:
     """Votes weighted by exp(z) of the log-probability, z within -6 and 6; the plain vote where there is none."""
-    z = F.greatest(F.least(zscore(F.col("logp")), F.lit(6.0)), F.lit(-6.0))
-    return vote(pool.withColumn("__w", F.exp(z)), F.sum("__w"), tie)
+    clamped = F.greatest(F.least("z", F.lit(6.0)), F.lit(-6.0))
+    return vote(with_zscore(pool, "logp"), F.sum(F.exp(clamped)), tie)
 
 
 def logp_best(pool: DataFrame, tie: str = "answer_asc") -> DataFrame:
     """The answer of the single most probable sample; the plain vote where no sample has a log-probability."""
-    have = F.count("logp").over(by_id()) > 0
-    return vote(pool.withColumn("__z", F.when(have, zscore(F.col("logp")))), F.coalesce(F.max("__z"), F.count("*").cast("double")), tie)
+    scores = answer_scores(pool, "logp")
+    return winners(scores.withColumn("weight", F.when(F.col("scored") > 0, F.col("max_z")).otherwise(F.col("n"))), tie)
 
 
 #: Rules by name; a caller may add its own.
@@ -110,22 +111,41 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 PURE_SCORE = 1e8
 
 
-def fused_weight(gamma: Column | float, how: str, z: str = "z") -> Column:
+def answer_scores(pool: DataFrame, score: str = "score") -> DataFrame:
+    """(id, ans, n, mean_z, max_z, first_j, scored): each answer's votes, the mean and the largest of its samples' z, and
+    how many samples of the id have a score.
+
+    z as in `with_zscore`, but from sums by answer: samples are added up before they are moved, so an id with a third of all
+    samples costs no more than one with a few. Means and squares are joined as in Chan's formula, without cancellation.
+    """
+    x = F.col(score)
+    by = pool.groupBy("id", "ans").agg(
+        F.count("*").alias("n"), F.count(x).alias("m"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("var"), F.max(x).alias("top"), F.min("j").alias("first_j"),
+    )
+    by = by.withColumn("all", F.sum("m").over(by_id())).withColumn("mu", F.try_divide(F.sum(F.col("m") * F.col("mean")).over(by_id()), F.col("all")))
+    spread = F.sum(F.col("m") * (F.col("var") + F.pow(F.col("mean") - F.col("mu"), 2))).over(by_id())
+    by = by.withColumn("sd", F.sqrt(spread / F.nullif(F.col("all") - 1, F.lit(0))))
+    sd, some = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), (F.col("all") >= 2) & (F.col("m") > 0)
+    mean_z = F.when(some, F.col("m") * (F.col("mean") - F.col("mu")) / sd / F.col("n")).otherwise(0.0)
+    top = (F.col("top") - F.col("mu")) / sd
+    max_z = F.when(some, F.when(F.col("n") > F.col("m"), F.greatest(top, F.lit(0.0))).otherwise(top)).otherwise(0.0)
+    return by.select("id", "ans", "n", mean_z.alias("mean_z"), max_z.alias("max_z"), "first_j", F.col("all").alias("scored"))
+
+
+def fused_weight(gamma: Column | float, how: str) -> Column:
     """ln(votes) + gamma * mean or max of z; from PURE_SCORE on the largest z alone."""
-    score = F.avg(z) if how == "mean" else F.max(z)
     gamma = gamma if isinstance(gamma, Column) else F.lit(float(gamma))
-    return F.when(gamma >= PURE_SCORE, F.max(z)).otherwise(F.log(F.count("*")) + gamma * score)
+    return F.when(gamma >= PURE_SCORE, F.col("max_z")).otherwise(F.log("n") + gamma * F.col("mean_z" if how == "mean" else "max_z"))
 
 
 def fused(pool: DataFrame, gamma: float = 0.5, how: str = "mean", tie: str = "answer_asc", score: str = "score") -> DataFrame:
     """z of the score is over the whole pool of an id, samples without an answer too."""
-    return vote(pool.withColumn("z", zscore(F.col(score))), fused_weight(gamma, how), tie)
+    return winners(answer_scores(pool, score).withColumn("weight", fused_weight(gamma, how)), tie)
 
 
 def best_of_n(pool: DataFrame, how: str = "max", score: str = "score") -> DataFrame:
     """The answer whose best (or with how='mean' whose average) sample scores highest."""
-    z = F.max("z") if how == "max" else F.avg("z")
-    return vote(pool.withColumn("z", zscore(F.col(score))), z)
+    return winners(answer_scores(pool, score).withColumn("weight", F.col("max_z" if how == "max" else "mean_z")))
 
 
 def submission(pool: DataFrame, ids: DataFrame, gamma: float = 0.5, how: str = "mean", fallback: DataFrame | None = None, tie: str = "answer_asc") -> DataFrame:

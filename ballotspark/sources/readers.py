@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,18 @@ def _leaves(x, path: str):
             yield from _leaves(v, f"{path}.{k}" if path else str(k))
 
 
+def numbered(df: DataFrame, name: str, order: str | None = None) -> DataFrame:
+    """df with a column that counts its rows from 0, in the order of a column or of the scan. Rows are counted by
+    partition and only the partitions' offsets are added up, so nothing passes through one task."""
+    rows = (df.sort(order) if order else df).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(part.alias("__part")).count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    out = rows.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__before")
+
+
 def normalized_input(df: DataFrame, order: str | None = None) -> DataFrame:
     """(id, question, answer) of a table whose columns go by other names.
 
@@ -112,10 +124,8 @@ def normalized_input(df: DataFrame, order: str | None = None) -> DataFrame:
     if question is None:
         raise ValueError(f"no column for the question among {df.columns}")
     if ident is None:
-        from pyspark.sql import Window
-
-        ordinal = F.row_number().over(Window.orderBy(F.col(order) if order else F.monotonically_increasing_id())) - 1
-        ident = F.format_string("t-%06d", ordinal)
+        df = numbered(df, "__ordinal", order)
+        ident = F.format_string("t-%06d", F.col("__ordinal"))
     return df.select(ident.cast("string").alias("id"), question.cast("string").alias("question"), (F.lit(None) if answer is None else answer).cast("string").alias("answer"))
 
 
