@@ -30,6 +30,12 @@ def submission_check(sub: DataFrame, ref: DataFrame, zero_share: float = 0.03) -
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def id_differences(sub: DataFrame, ref: DataFrame) -> DataFrame:
+    """(side, id): ids that only the reference has (missing), or only the submission (extra)."""
+    a, b = sub.select("id").distinct(), ref.select("id").distinct()
+    return b.join(a, "id", "left_anti").select(F.lit("missing").alias("side"), "id").unionByName(a.join(b, "id", "left_anti").select(F.lit("extra").alias("side"), "id"))
+
+
 def distinct_envelope(train: DataFrame, n: int, draws: int = 50, seed: str = "0") -> DataFrame:
     """(least, most) distinct answers among n training answers, over `draws` draws without replacement."""
     each = train.select("id", "answer").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotspark.functions.answers import mentions
 from ballotspark.functions.normal import normal_quantile
 from ballotspark.operators.voting import RULES, answer_scores, fused_weight, majority, winners
 
@@ -244,6 +245,22 @@ def throughput(runs: DataFrame) -> DataFrame:
     return runs.agg(F.round(F.sum("tokens_out") / F.sum("seconds"), 4).alias("tok_per_s"), F.round(F.sum("truncated") / F.sum("samples"), 6).alias("trunc_ratio"), F.round(F.sum(F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6, 6).alias("cost"))
 
 
+def missed_upper_bound(pool: DataFrame, answers: DataFrame, gold: DataFrame) -> DataFrame:
+    """(n, missed, miss_upper): ids that were answered wrong although the right number stands by itself in some sample's
+    text. Small numbers do so by chance, so this is an upper bound of what better parsing would win."""
+    wrong = answers.join(gold, "id").where(~F.coalesce(F.col("answer") == F.col("gold"), F.lit(False))).select("id", "gold")
+    seen = pool.join(wrong, "id").groupBy("id").agg(F.max(F.coalesce(mentions(F.col("text"), F.col("gold").cast("string")), F.lit(False)).cast("long")).alias("seen"))
+    n = answers.join(gold, "id").agg(F.count("*").alias("n"))
+    return seen.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("missed")).crossJoin(n).select("n", "missed", F.round(F.col("missed") / F.col("n"), 4).alias("miss_upper"))
+
+
+def failing_examples(rows: DataFrame, n: int, cause: str | None = None, chars: int = 600) -> DataFrame:
+    """Of (id, cause, text) the first n of each cause (or of one) by id, with the end of the text."""
+    some = rows if cause is None else rows.where(F.col("cause") == cause)
+    rank = F.row_number().over(Window.partitionBy("cause").orderBy("id"))
+    return some.withColumn("__rn", rank).where(F.col("__rn") <= n).select("id", "cause", F.right("text", F.lit(chars)).alias("tail"))
+
+
 def log_odds(top: Column, yes: str = "Yes", no: str = "No", floor: float = -20.0) -> Column:
     """Of a map of log-probabilities; tokens that it lacks have the floor. Four decimals."""
     return F.round(F.coalesce(F.try_element_at(top, F.lit(yes)), F.lit(floor)) - F.coalesce(F.try_element_at(top, F.lit(no)), F.lit(floor)), 4)

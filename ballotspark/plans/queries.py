@@ -321,3 +321,26 @@ UNION ALL SELECT 'suspects', CAST(count(*) AS DOUBLE), count(*) < 500 FROM (SELE
 UNION ALL SELECT 'training_rows', CAST(count(*) AS DOUBLE), count(*) >= 8000 FROM pool JOIN gold USING (id) WHERE ans = gold""")(
     lambda spark, sf: gates.sampling_gates(metrics.solved(*li(spark, sf)), audit.suspects(*li(spark, sf)).agg(F.count("*").alias("n")), li(spark, sf)[0].join(li(spark, sf)[1], "id").where("ans = gold").agg(F.count("*").alias("n")))
 )
+
+
+query("miss_upper", f"""WITH {S.LI}, t AS (SELECT id, j, ans, 'is ' || CAST(trunc(score) AS INT) % 5 || ' of ' || j AS text FROM pool), maj AS ({S.RULES['majority']}), w AS (SELECT id, gold FROM maj JOIN gold USING (id) WHERE answer IS DISTINCT FROM gold),
+s AS (SELECT id, max(CASE WHEN regexp_matches(text, '(^|[^0-9.])' || gold || '($|[^0-9.])') THEN 1 ELSE 0 END) AS seen FROM t JOIN w USING (id) GROUP BY id), n AS (SELECT count(*) AS n FROM maj JOIN gold USING (id))
+SELECT n, sum(seen) AS missed, round(sum(seen) / n, 4) AS miss_upper FROM s, n GROUP BY n""")(
+    lambda spark, sf: metrics.missed_upper_bound(li(spark, sf)[0].withColumn("text", F.concat(F.lit("is "), (F.col("score").cast("int") % 5).cast("string"), F.lit(" of "), F.col("j").cast("string"))), voting.majority(li(spark, sf)[0]), li(spark, sf)[1])
+)
+query("failing_examples", f"""WITH {DOCS}, r AS (SELECT id, source AS cause, right(question, 600) AS tail, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM docs) SELECT id, cause, md5(tail) AS tail FROM r WHERE rn <= 3""")(
+    lambda spark, sf: metrics.failing_examples(docs(spark, sf).select("id", F.col("source").alias("cause"), F.col("question").alias("text")), 3).withColumn("tail", F.md5("tail"))
+)
+query("id_differences", f"WITH {S.LI}, {SUB} SELECT 'missing' AS side, id FROM gold WHERE id NOT IN (SELECT id FROM sub) UNION ALL SELECT 'extra', id FROM sub WHERE id NOT IN (SELECT id FROM gold)")(lambda spark, sf: gates.id_differences(_sub(li(spark, sf)[1]), li(spark, sf)[1]))
+query("reordered_submission", f"WITH {S.LI}, {SUB} SELECT g.id, coalesce(TRY_CAST(answer AS BIGINT), 0) AS answer FROM gold g LEFT JOIN (SELECT id, CASE WHEN regexp_full_match(answer, '-?\\d+') THEN answer END AS answer FROM sub) USING (id)")(
+    lambda spark, sf: gates.reordered(_sub(li(spark, sf)[1]).withColumn("answer", F.when(F.col("answer").rlike(r"^-?\d+$"), F.col("answer").cast("long"))), li(spark, sf)[1].withColumn("ord", F.col("id")), "ord")
+)
+query("id_overlap", f"WITH {DOCS} SELECT count(*) AS both FROM (SELECT id FROM docs INTERSECT SELECT doc_id FROM labels)")(lambda spark, sf: docs(spark, sf).select("id").intersect(P.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))).agg(F.count("*").alias("both")))
+query("fallback_rendered", f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 6 THEN CAST(CAST(round_even({N} / 7.0, 0) AS BIGINT) AS VARCHAR) WHEN o_orderkey % 8 = 7 THEN CAST(-{N} AS VARCHAR) ELSE CAST({N} AS VARCHAR) END AS answer FROM orders")(
+    lambda spark, sf: P.rendered(spark, sf).select("id", A.extract_or_fallback(F.col("text")).alias("answer"))
+)
+query("vote_margin_stats", f"""WITH {S.LI}, v AS (SELECT id, ans, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC) AS r FROM pool WHERE ans IS NOT NULL GROUP BY id, ans), m AS (SELECT id, max(n) FILTER (r = 1) - coalesce(max(n) FILTER (r = 2), 0) AS margin FROM v GROUP BY id)
+SELECT quantile_cont(margin, 0.5) AS median, max(margin) AS most FROM m""")(lambda spark, sf: metrics.vote_margin(li(spark, sf)[0]).agg(F.percentile("margin", 0.5).alias("median"), F.max("margin").alias("most")))
+query("log_odds", "SELECT event_id AS id, round(CASE WHEN event_id % 3 = 0 THEN -20.0 ELSE value / 10 END - (CASE WHEN event_id % 5 = 0 THEN -20.0 ELSE -value / 10 END), 4) AS orm FROM events")(
+    lambda spark, sf: P.table(spark, sf, "events").select(F.col("event_id").alias("id"), metrics.log_odds(F.map_filter(F.create_map(F.lit("Yes"), F.when(F.col("event_id") % 3 != 0, F.col("value") / 10), F.lit("No"), F.when(F.col("event_id") % 5 != 0, -F.col("value") / 10)), lambda k, v: v.isNotNull())).alias("orm"))
+)

@@ -15,6 +15,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def latest(spark: SparkSession, glob: str) -> str | None:
+    """The matching path that was changed last (of equal times the last by name), or None."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return max(((f.getModificationTime(), f.getPath().toString()) for f in found or []), default=(0, None))[1]
+
+
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """CSV with a header, columns by name, and line ends inside quotes. Columns that the file lacks are null."""
     options = {"header": True, "multiLine": True, "escape": '"'}

@@ -206,3 +206,30 @@ def test_gates(spark):
 def test_log_odds(spark):
     df = spark.sql("SELECT map('Yes', -0.1D, 'No', -2.5D) AS a, map('Yes', -0.1D) AS b, cast(map() AS map<string,double>) AS c")
     assert tuple(df.select(metrics.log_odds(F.col("a")), metrics.log_odds(F.col("b")), metrics.log_odds(F.col("c"))).first()) == (2.4, 19.9, 0.0)
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from ballotspark.functions.normal import normal_quantile
+
+    ps = [1e-6, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.7, 0.9757, 0.99, 1 - 1e-6]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    assert all(math.isclose(r[0], NormalDist().inv_cdf(p), abs_tol=1e-6) for r, p in zip(df.select(normal_quantile(F.col("p"))).collect(), ps, strict=True))
+
+
+def test_prompts(spark):
+    from ballotspark.functions import prompts
+
+    df = spark.createDataFrame([("2+2?", "4"), (None, "1" * 30), ("x", None)], "q string, k string")
+    got = df.select(prompts.filled("Q: {q} A: {k}", q=F.col("q"), k=prompts.shown_answer(F.col("k"))), prompts.messages(F.col("q"), F.lit("s")), prompts.within_budget(F.length("k"), 5, F.lit(1.0))).collect()
+    assert [r[0] for r in got] == ["Q: 2+2? A: 4", "Q:  A: (30 digits)", "Q: x A: (none)"]
+    assert [m["role"] for m in got[0][1]] == ["system", "user"] and [r[2] for r in got] == [1.0, -20.0, -20.0]
+
+
+def test_hot_id_moves_by_answer(spark):
+    """A third of all samples in one id: the fused vote shuffles its answers, not its samples."""
+    p = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("id"), F.col("id").cast("int").alias("j"), (F.col("id") % 7).alias("ans"), F.rand(1).alias("score"))
+    plan = voting.fused(p)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+    assert voting.fused(p).count() == 500
