@@ -5,12 +5,19 @@ for k < i, the hash of [s, e) is (P[e] - P[s]) * B**-s modulo 2**64: equal strin
 stand. Different strings agree by chance about once in 2**60 pairs; operators that must not rely on it compare bytes.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    # Arrays above 4 MB get pages of their own, which go back when they are freed; else a worker keeps its peak.
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+except (AttributeError, OSError):  # another C library than glibc
+    pass
+
 #: Fixed odd multiplier, 5 modulo 8, and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -50,7 +57,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_hashes(data: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=out[1:])
+    for low in range(0, len(data), 1 << 15):  # temporaries stay in cache
+        part = slice(low, min(low + (1 << 15), len(data)))
+        np.cumsum(values[data[part]] * up[part], out=out[part.start + 1 : part.stop + 1])
+        out[part.start + 1 : part.stop + 1] += out[part.start]
     return out
 
 
@@ -99,4 +109,4 @@ def word_ranges(data: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE
     edges = at[1:]
     after[edges[edges > 0] - 1] = False
     ends = np.flatnonzero(of & ~after) + 1
-    return starts, ends, np.searchsorted(at, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(starts, at)))

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballotspark.llm import blocks as B
-from ballotspark.llm.storage import written
+from ballotspark.llm.storage import bucketed
 
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 24 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def pack(data: bytes, level: int = 1) -> bytes:
@@ -54,11 +55,12 @@ def unpack_small(data: bytes) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, rows, sizes, data) of docs, whose columns are `text` and some scalar ones.
+    """(chunk, rows, sizes, data) of docs, whose columns are `text` and some scalar ones, in buckets by chunk.
 
     rows holds those others as a list of structs; sizes are the texts' bytes; data the compressed texts. Null texts
     count as empty.
     """
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keep = [f for f in docs.schema if f.name != "text"]
     struct = "struct<" + ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in keep) + ">"
 
@@ -70,7 +72,7 @@ def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
         def row() -> pa.RecordBatch:
             rows = pa.concat_arrays([pa.StructArray.from_arrays([b.column(f.name) for f in keep], [f.name for f in keep]) for b, _, _ in held])
             sizes = np.concatenate([np.diff(at) for _, _, at in held]).astype(np.int32)
-            data = pack(b"".join(d.tobytes() for _, d, _ in held))
+            data = pack(b"".join(d.tobytes() for _, d, _ in held), 3)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(rows)], rows), pa.ListArray.from_arrays([0, len(sizes)], pa.array(sizes)), pa.array([data], pa.binary())], ["chunk", "rows", "sizes", "data"])
 
         for block in B.doc_blocks(batches, bytes_ // 4):
@@ -83,13 +85,15 @@ def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
             yield row()
 
     ordered = docs.select(*(f.name for f in keep), "text")
-    return written(ordered.mapInArrow(packed, f"chunk long, rows array<{struct}>, sizes array<int>, data binary"), name, "uncompressed")
+    schema = f"chunk long, rows array<{struct}>, sizes array<int>, data binary"
+    out = bucketed(ordered.mapInArrow(packed, schema), name, "chunk", int(4 + total // max(bytes_, BUCKET_BYTES)), "uncompressed")
+    out._text_bytes = total
+    return out
 
 
-def parts_of(chunks: DataFrame) -> int:
+def parts_of(chunks: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Partitions of the key space, in proportion to the text."""
-    total = chunks.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
-    return int(4 + total // PART_BYTES)
+    return int(4 + chunks._text_bytes // part_bytes)
 
 
 def opened(batch: pa.RecordBatch, k: int = 0) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:

@@ -50,6 +50,18 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str = "zstd") -> DataFrame:
+    """As `written`, dealt out by a key: grouping by it, or joining on it, moves only the other side."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{table}"
+    df.write.option("compression", compression).option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    _WRITTEN[path] = spark
+    out = spark.table(table)
+    out._written_path = path
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table of `written` that nothing reads any more."""
     path = getattr(df, "_written_path", None)
