@@ -293,7 +293,7 @@ def _by_join(docs: DataFrame, state: State) -> DataFrame:
 
     long = ", ".join(f"{x} long" for x in ("t1", "t2", "i", "hi", "lo"))
     found = docs.select("text").mapInArrow(lines, long).distinct().withColumn("salt", F.pmod("t1", F.lit(SALTS)))
-    often = state.refs.where(F.col("n") >= state.min_docs).select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    often = state.refs.where(F.col("n") >= state.min_docs).select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
     drop = found.join(often, ["hi", "lo", "salt"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("i").alias("__drop"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
