@@ -48,6 +48,7 @@ class Vocabulary:
         #: Two characters that stand side by side in some piece; between all others a text can be cut.
         self.inner = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self._stable: dict[tuple[str, str], bool] = {}
+        self._history: dict[str, tuple[list[float], list[str], list[str]]] = {}
 
     def merges(self, text: str) -> list[str]:
         """Greedy merging, best score first and leftmost among equals."""
@@ -73,18 +74,59 @@ class Vocabulary:
             offer(a, after[a])
         return [p for p in parts if p is not None]
 
+    def history(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """How greedy merging builds a piece: the score of each merge, and the first and the last part before each merge
+        and at the end."""
+        known = self._history.get(piece)
+        if known is None:
+            parts, scores, firsts, lasts = list(piece), [], [piece[0]], [piece[-1]]
+            while len(parts) > 1:
+                best = max(((self.score[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.score), default=None)
+                if best is None:
+                    break
+                k = -best[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                scores.append(best[0])
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            known = self._history[piece] = scores, firsts, lasts
+        return known
+
     def stable(self, left: str | None, right: str) -> bool:
-        """Whether these two pieces, side by side, stay as they are."""
+        """Whether these two pieces, side by side, stay as they are.
+
+        Both are built as they would be alone, until a merge across the border between them is the best there is: better
+        than the left one's next merge and no worse than the right one's, as the leftmost of equals goes first.
+        """
         if left is None or left[-1] + right[0] not in self.inner:
             return True
         key = (left, right)
         known = self._stable.get(key)
         if known is None:
-            if len(self._stable) > 300_000:
+            if len(self._stable) > 150_000:
                 self._stable.clear()
-            known = self._stable[key] = self.merges(left + right) == [left, right]
+            known = self._stable[key] = self._apart(left, right)
         return known
 
+    def _apart(self, left: str, right: str) -> bool:
+        (mine, _, lasts), (theirs, firsts, _) = self.history(left), self.history(right)
+        if lasts[-1] != left or firsts[-1] != right:
+            return False  # not even alone
+        i = j = 0
+        score, none = self.score, float("-inf")
+        while True:
+            a = mine[i] if i < len(mine) else none
+            b = theirs[j] if j < len(theirs) else none
+            across = score.get(lasts[i] + firsts[j])
+            if across is not None and across > a and across >= b:
+                return False
+            if a == b == none:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
 
 class Transducer:
     """Lazily determinised; `start` is the state before a text's first character."""

@@ -73,8 +73,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each text, and the digest of what they decode to."""
-    model = vocabulary_file()
-    out = sentencepiece_lattice.decode(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), model), model)
+    out = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), vocabulary_file(), with_text=True)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

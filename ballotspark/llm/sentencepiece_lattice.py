@@ -14,22 +14,24 @@ Which pairs are stable is a property of the vocabulary, worked out once for each
 Characters that are no piece are words of their own and become their bytes' pieces.
 """
 
-import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballotspark.llm import blocks as B
 from ballotspark.llm import chunks as C
 from ballotspark.llm.bpe_transducer import SPACE, Vocabulary
 from ballotspark.llm.storage import written
 
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_MARK = SPACE.encode()
 BITS = 20
 #: Words above this many characters without a place to cut are folded outside Spark, where positions cost no copy.
 LONG = 1024
@@ -54,37 +56,76 @@ def words(v: Vocabulary, unit: str) -> list[str]:
     return [*out, unit[low:]]
 
 
-def units(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def _texts(data: np.ndarray, at: np.ndarray) -> list[str]:
-    raw = data.tobytes()
-    return [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def _distinct(v: Vocabulary, texts: list[str]) -> tuple[dict[str, list[str]], list[str]]:
-    """The words of each distinct unit; all distinct words in order."""
-    seen = {u: None for t in texts for u in units(t)}
-    cut = {u: words(v, u) for u in seen}
-    return cut, sorted({w for x in cut.values() for w in x})
-
-
-def _by_part(found: list[str], parts: int) -> list[list[str]]:
-    out: list[list[str]] = [[] for _ in range(parts)]
+@lru_cache(2)
+def joints(model_file: str) -> np.ndarray:
+    """For two bytes side by side, spaces being spaces: whether a piece may span them. Exact between ASCII characters;
+    elsewhere it may be true where no piece does."""
+    out = np.zeros((256, 256), bool)
+    out[:, 0x80:0xC0] = True  # within a character
+    for pair in vocabulary(model_file).inner:
+        a, b = (c.replace(SPACE, " ").encode() for c in pair)
+        out[a[-1], b[0]] = True
+    return out.ravel()
+
+
+class Cut:
+    """The texts of a chunk as numbers of distinct units, and each unit's words."""
+
+    def __init__(self, model_file: str, data: np.ndarray, at: np.ndarray):
+        v, joint, hashes, starts, stops, per_row, held, base = vocabulary(model_file), joints(model_file), [], [], [], [], [], 0
+        low = 0
+        while low < len(at) - 1:  # about 1 MB at once
+            high = max(low + 1, int(np.searchsorted(at, at[low] + (1 << 20), "right")) - 1)
+            raw = data[at[low] : at[high]].tobytes()
+            edge = (at[low : high + 1] - at[low]).tolist()
+            texts = [b" " + raw[a:b].replace(_MARK, b" ") if b > a else b"" for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            raw = b"".join(texts)
+            part, edge = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])
+            begin = np.zeros(len(part), bool)
+            if len(part):
+                begin[1:] = ~joint[(part[:-1].astype(np.uint16) << 8) | part[1:]]
+                begin[edge[:-1][np.diff(edge) > 0]] = True
+            start = np.flatnonzero(begin)
+            stop = np.append(start[1:], len(part))
+            per_row.append(np.searchsorted(start, edge[1:]) - np.searchsorted(start, edge[:-1]))
+            hashes.append(B.mix(B.range_hashes(B.prefix_hashes(part), start, stop)))
+            starts.append((start + base).astype(np.int32))
+            stops.append((stop + base).astype(np.int32))
+            held.append(raw)
+            base += len(raw)
+            low = high
+        self.per_row, start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (per_row, starts, stops))
+        raw, h = b"".join(held), np.concatenate([np.zeros(0, np.uint64), *hashes])
+        del held, starts, stops, hashes
+        self.number, distinct = pd.factorize(h)
+        first = np.empty(len(distinct), np.int64)
+        first[self.number[::-1]] = np.arange(len(start))[::-1]
+        units = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        # the units' words: bytes, with spaces as spaces
+        self.units = [(u,) if u.isascii() else [w.encode().replace(_MARK, b" ") for w in words(v, u.decode().replace(" ", SPACE))] for u in units]
+        self.words = list(dict.fromkeys(chain.from_iterable(self.units)))
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """flat[start[k] : start[k] + size[k]] for each k of which, one after another."""
+    n = size[which]
+    return flat[np.arange(n.sum()) + np.repeat(start[which] - np.cumsum(n) + n, n)]
+
+
+def _by_part(found: list[bytes], parts: int) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in range(parts)]
     for w in found:
-        out[zlib.crc32(w.encode()) % parts].append(w)
+        out[crc32(w) % parts].append(w)
     return out
 
 
-def _packed(found: list[str]) -> tuple[bytes, bytes]:
-    raw = [w.encode() for w in found]
-    return C.pack(b"".join(raw), 3), C.pack_small(np.array([len(x) for x in raw], np.int64))
+def _packed(found: list[bytes]) -> tuple[bytes, bytes]:
+    return C.pack(b"".join(found), 3), C.pack_small(np.array([len(x) for x in found], np.int64))
 
 
-def _unpacked(data: bytes, sizes: bytes) -> list[str]:
+def _unpacked(data: bytes, sizes: bytes) -> list[bytes]:
     raw, at = C.unpack(data), np.concatenate([[0], np.cumsum(C.unpack_small(sizes))]).astype(int).tolist()
-    return [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
@@ -92,12 +133,12 @@ def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(v.id), "id": pa.array(list(v.id.values()), pa.int32())}))
 
 
-def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str) -> DataFrame:
+def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to: int) -> DataFrame:
     """(word, ids) of a table of distinct words (word), cut as `words` does. Grouping needs no second shuffle: words
     are dealt out once and stay where their substrings are."""
     spark = distinct.sparkSession
     pieces = piece_table(spark, v)
-    dealt = distinct.repartition("word")
+    dealt = distinct.repartition(dealt_to, "word")
     at = dealt.withColumn("n", F.length("word")).where(F.col("n") <= LONG).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     sub = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.col("n") - F.col("s"))))).withColumn("piece", F.expr("substring(word, s + 1, l)"))
     code = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 2 * BITS) + F.shiftleft(F.col("s").cast("long"), BITS) + F.col("id")
@@ -124,14 +165,13 @@ def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str) -> DataFra
         count = np.bincount(of[left[good]], minlength=len(at) - 1)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(pairs[good]))
 
-    #: back pointers by position: (id of the last piece, place where it starts); the entry of the start has id -1.
-    fold = f"""aggregate(edges, array(named_struct('id', -1L, 's', -1L)), (back, x) ->
-      if(size(back) = shiftright(x, {2 * BITS})
-         and (get(back, cast(shiftright(x, {BITS}) & {mask} as int)).id = -1
-              or array_contains(stable, shiftleft(get(back, cast(shiftright(x, {BITS}) & {mask} as int)).id, {BITS}) + (x & {mask}))),
-         concat(back, array(named_struct('id', x & {mask}, 's', shiftright(x, {BITS}) & {mask}))), back))"""
-    trace = """aggregate(sequence(1, size(back) - 1), named_struct('p', size(back) - 1, 'ids', cast(array() as array<int>)), (t, i) ->
-      if(t.p > 0, named_struct('p', cast(get(back, t.p).s as int), 'ids', concat(array(cast(get(back, t.p).id as int)), t.ids)), t), t -> t.ids)"""
+    # back pointers by position, id << BITS | start; the begin of the word has -1. An edge is end << 2 BITS | start << BITS | id.
+    at, ident = f"cast(shiftright(x, {BITS}) & {mask} as int)", f"(x & {mask})"
+    fold = f"""aggregate(edges, array(-1L), (back, x) ->
+      if(size(back) = shiftright(x, {2 * BITS}) and (shiftright(x, {BITS}) & {mask} = 0 or array_contains(stable, (get(back, {at}) & {mask << BITS}L) + {ident})),
+         array_append(back, shiftleft({ident}, {BITS}) + (shiftright(x, {BITS}) & {mask})), back))"""
+    trace = f"""aggregate(back, named_struct('p', size(back) - 1, 'ids', cast(array() as array<int>)), (t, i) ->
+      if(t.p > 0, named_struct('p', cast(get(back, t.p) & {mask} as int), 'ids', array_append(t.ids, cast(shiftright(get(back, t.p), {BITS}) as int))), t), t -> reverse(t.ids))"""
     known = lattice.withColumn("stable", stable("edges")).select("word", F.expr(fold).alias("back")).select("word", F.expr(trace).alias("ids"))
     fallback = F.array(*(F.lit(v.byte_id[b]) for b in range(256)))
     raw = F.encode(F.col("word"), "utf-8")
@@ -159,8 +199,9 @@ def fold_long(v: Vocabulary, word: str) -> list[int]:
     return out[::-1]
 
 
-def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """doc_id, ids (the library's encoding of the whole text) of each row of docs (doc_id, text).
+def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, with_text: bool = False) -> DataFrame:
+    """doc_id, ids (the library's encoding of the whole text) of each row of docs (doc_id, text); with_text: and text,
+    what these ids decode to, as `decode` gives it, without another pass through Python.
 
     Null and empty texts have no ids. Repeated rows each give a row; other columns are ignored; an empty table gives
     none.
@@ -168,64 +209,96 @@ def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES) -
     v = vocabulary(model_file)
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = C.chunked(docs.select("doc_id", "text"), "piece-chunks", chunk_bytes)
-    parts = C.parts_of(chunks)
+    parts = C.parts_of(chunks, 12 << 20)
 
     def question(chunk, rows, data, at):
-        for part, found in enumerate(_by_part(_distinct(vocabulary(model_file), _texts(data, at))[1], parts)):
+        for part, found in enumerate(_by_part(Cut(model_file, data, at).words, parts)):
             if found:
                 yield chunk, part, *_packed(found)
 
     asked = written(C.ask(chunks, question, "chunk long, part int, words binary, sizes binary"), "piece-words", "uncompressed")
 
     def distinct(table: pa.Table):
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for data, sizes in zip(table["words"].to_pylist(), table["sizes"].to_pylist(), strict=True):
             seen.update(_unpacked(data, sizes))
-        return ((w,) for w in seen)
+        return ((w.decode().replace(" ", SPACE),) for w in seen)
 
-    known = encode_words(C.answer(asked, distinct, "word string", parts), v, model_file).withColumn("part", F.pmod(F.crc32(F.encode("word", "utf-8")), F.lit(parts)).cast("int"))
+    known = encode_words(C.answer(asked, distinct, "word string", parts), v, model_file, 2 * parts).withColumn("part", F.pmod(F.crc32(F.encode(F.replace("word", F.lit(SPACE), F.lit(" ")), "utf-8")), F.lit(parts)).cast("int"))
     reply = C._arrow("chunk long, part int, ids binary, sizes binary")
 
     def answers(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right["ids"].combine_chunks()
-        flat, at = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))]).astype(int)
-        of = {w: k for k, w in enumerate(right["word"].to_pylist())}
+        size = np.asarray(pc.list_value_length(ids)).astype(np.int64)
+        flat, start = ids.flatten().to_numpy(), np.cumsum(size) - size
+        of = {w.encode().replace(_MARK, b" "): k for k, w in enumerate(right["word"].to_pylist())}
         rows = []
         for chunk, part, data, sizes in zip(*(left[c].to_pylist() for c in ("chunk", "part", "words", "sizes")), strict=True):
-            got = [flat[at[of[w]] : at[of[w] + 1]] if w in of else np.array(fold_long(vocabulary(model_file), w)) for w in _unpacked(data, sizes)]
-            rows.append({"chunk": chunk, "part": part, "ids": C.pack_small(np.concatenate(got)), "sizes": C.pack_small(np.array([len(x) for x in got]))})
+            found = _unpacked(data, sizes)
+            which = np.array([of.get(w, -1) for w in found], np.int64)
+            if (which >= 0).all():
+                got, n = gathered(flat, start, size, which), size[which]
+            else:
+                lists = [flat[start[k] : start[k] + size[k]] if k >= 0 else np.array(fold_long(vocabulary(model_file), w.decode().replace(" ", SPACE))) for k, w in zip(which, found, strict=True)]
+                got, n = np.concatenate(lists), np.array([len(x) for x in lists])
+            rows.append({"chunk": chunk, "part": part, "ids": C.pack_small(got), "sizes": C.pack_small(n)})
         return pa.Table.from_pylist(rows, reply)
 
     replies = asked.repartition(parts, "part").groupBy("part").cogroup(known.repartition(parts, "part").groupBy("part")).applyInArrow(answers, "chunk long, part int, ids binary, sizes binary")
 
     def finish(chunk, table: pa.Table) -> pa.Table:
         _, rows, data, at = chunk
-        texts = _texts(data, at)
-        cut, found = _distinct(vocabulary(model_file), texts)
-        by_part = {p: (C.unpack_small(i), C.unpack_small(s)) for p, i, s in zip(*(table[c].to_pylist() for c in ("part", "ids", "sizes")), strict=True)}
-        of_word: dict[str, np.ndarray] = {}
-        for part, mine in enumerate(_by_part(found, parts)):
+        cut = Cut(model_file, data, at)
+        by_part = {p: (i, s) for p, i, s in zip(*(table[c].to_pylist() for c in ("part", "ids", "sizes")), strict=True)}
+        place, flats, sizes = {}, [], []
+        for part, mine in enumerate(_by_part(cut.words, parts)):
             if mine:
-                ids, sizes = by_part[part]
-                of_word.update(zip(mine, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
-        number, pieces = {}, []
-        for u, ws in cut.items():
-            number[u] = len(pieces)
-            pieces.append(of_word[ws[0]] if len(ws) == 1 else np.concatenate([of_word[w] for w in ws]))
-        size = np.array([len(x) for x in pieces], np.int64)
-        flat = np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32)
+                place.update(zip(mine, range(len(place), len(place) + len(mine)), strict=True))
+                flats.append(C.unpack_small(by_part[part][0]).astype(np.int32))
+                sizes.append(C.unpack_small(by_part[part][1]))
+        flat, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (flats, sizes))
         start = np.cumsum(size) - size
+        # units of several words have their ids put together
+        of_unit = np.array([place[w] for u in cut.units for w in u], np.int64)
+        count = np.array([len(u) for u in cut.units], np.int64)
+        unit_flat = gathered(flat, start, size, of_unit).astype(np.int32)
+        unit_size = np.add.reduceat(size[of_unit], np.cumsum(count) - count) if len(count) else count
+        unit_start = np.cumsum(unit_size) - unit_size
+        edge = np.concatenate([[0], np.cumsum(cut.per_row)])
         batches = []
-        for low in range(0, len(texts), 512):
-            lists = [[number[u] for u in units(t)] for t in texts[low : low + 512]]
-            k = np.fromiter((x for y in lists for x in y), np.int64)
-            n = size[k]
-            ids = flat[np.arange(n.sum()) + np.repeat(start[k] - np.cumsum(n) + n, n)]
-            stop = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(y) for y in lists])]).astype(int)]
-            batches.append(pa.table({"doc_id": rows.field("doc_id")[low : low + 512], "ids": pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(ids))}))
+        for low in range(0, len(rows), 512):
+            mine = cut.number[edge[low] : edge[min(low + 512, len(rows))]]
+            stop = np.concatenate([[0], np.cumsum(unit_size[mine])])[edge[low : low + 513] - edge[low]]
+            ids = gathered(unit_flat, unit_start, unit_size, mine)
+            lists = pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(ids))
+            batches.append(pa.table({"doc_id": rows.field("doc_id")[low : low + 512], "ids": lists} | ({"text": decoded(lists, model_file)} if with_text else {})))
         return pa.concat_tables(batches)
 
-    return C.finish(chunks, replies, finish, f"doc_id {kind}, ids array<int>")
+    return C.finish(chunks, replies, finish, f"doc_id {kind}, ids array<int>" + ", text string" * with_text)
+
+
+@lru_cache(2)
+def piece_bytes(model_file: str) -> pa.Array:
+    """What each id stands for; control ids stand for nothing."""
+    v = vocabulary(model_file)
+    names = [b""] * (1 + max(*v.id.values(), *v.byte_id.values()))
+    for p, i in v.id.items():
+        names[i] = p.replace(SPACE, " ").encode()
+    for b, i in v.byte_id.items():
+        names[i] = bytes([b])
+    return pa.array(names, pa.binary())
+
+
+def decoded(ids: pa.Array, model_file: str) -> pa.Array:
+    """The texts of lists of ids."""
+    n = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+    flat = piece_bytes(model_file).take(ids.flatten())
+    _, offsets, data = flat.buffers()
+    at = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    raw = data.to_pybytes() if data is not None else b""
+    edge = at[np.concatenate([[0], np.cumsum(n)])].tolist()
+    texts = [None if null else raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode(errors="replace") for a, b, null in zip(edge[:-1], edge[1:], ids.is_null().to_pylist(), strict=True)]
+    return pa.array(texts, pa.string())
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -237,25 +310,11 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     encoded = encoded.drop("text")
     from pyspark.sql import types as T
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
-        names = [b""] * (1 + max(*v.id.values(), *v.byte_id.values()))
-        for p, i in v.id.items():
-            names[i] = p.replace(SPACE, " ").encode()
-        for b, i in v.byte_id.items():
-            names[i] = bytes([b])
-        table = pa.array(names, pa.binary())
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 ids = part.column(part.schema.get_field_index("ids"))
-                n = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
-                flat = table.take(ids.flatten())
-                _, offsets, data = flat.buffers()
-                at = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-                raw = data.to_pybytes() if data is not None else b""
-                edge = at[np.concatenate([[0], np.cumsum(n)])]
-                texts = [None if null else raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode(errors="replace") for a, b, null in zip(edge[:-1].tolist(), edge[1:].tolist(), ids.is_null().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
-
-    return encoded.mapInArrow(decoded, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(ids, model_file)], [*part.schema.names, "text"])
+
+    return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
