@@ -32,46 +32,58 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of x[i : i + w] for each i with a whole window."""
-    n = len(x) - w + 1
+    """Least of x[i : i + w] for each i with a whole window: windows are doubled, the last two overlap."""
+    n, size = len(x) - w + 1, 1
     if n <= 0:
         return x[:0]
-    whole = np.concatenate([x, np.full(-len(x) % w, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(whole, axis=1).ravel()
-    back = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:n], x[w - size : w - size + n])
+
+
+#: Starts that are worked on at once; a text may be longer.
+SEGMENT = 1 << 16
+
+
+def anchors(data: np.ndarray, low: int, high: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the strings that start in [low, high): the place of each one's anchor; and the hashes of all k-grams from low on."""
+    gram = min(GRAM, length)
+    piece = data[low : high + length - 1]
+    prefix, n = B.prefix_hashes(piece), len(piece) - gram + 1
+    h = B.mix((prefix[gram:] - prefix[:n]) * B.powers(len(prefix))[1][:n])
+    order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    place = (sliding_least(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return place + low, h
 
 
 class Runs:
-    """Runs of strings with one anchor, in one chunk: first and last start, anchor, row; key of the anchor."""
+    """Runs of strings with one anchor, in one chunk: first and last start, anchor, row; key of the anchor.
+
+    A run that two segments share is two runs; they have one key, so nothing is lost.
+    """
 
     def __init__(self, data: np.ndarray, at: np.ndarray, length: int):
-        gram = min(GRAM, length)
         self.prefix = B.prefix_hashes(data)
-        none = np.zeros(0, np.int64)
-        self.first = self.last = self.anchor = self.row = none
-        self.key = none.astype(np.uint64)
-        n = len(data)
-        if n < length:
-            return
-        starts = np.arange(n - gram + 1)
-        h = B.mix(B.range_hashes(self.prefix, starts, starts + gram))
-        order = (h & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
-        anchor = (sliding_least(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        inside = np.zeros(n + 1, np.int8)  # strings within one row
+        found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]]
+        n = len(data) - length + 1  # starts
+        inside = np.zeros(max(n, 0) + 1, np.int8)  # strings within one row
         long = np.diff(at) >= length
         np.add.at(inside, at[:-1][long], 1)
         np.add.at(inside, at[1:][long] - length + 1, -1)
-        s = np.flatnonzero(np.cumsum(inside[: len(anchor)]) > 0)
-        if not len(s):
-            return
-        a = anchor[s]
-        new = np.ones(len(s), bool)
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1)
-        edge = np.flatnonzero(new)
-        row = np.searchsorted(at, s[edge], "right") - 1
-        self.first, self.last, self.anchor, self.row = s[edge], s[np.append(edge[1:], len(s)) - 1], a[edge], row
-        self.key = h[self.anchor]
+        inside = np.cumsum(inside[: max(n, 0)], dtype=np.int8) > 0
+        for low in range(0, n, SEGMENT):
+            high = min(low + SEGMENT, n)
+            of = inside[low:high]
+            if not of.any():
+                continue
+            place, h = anchors(data, low, high, length)
+            goes_on = np.zeros(len(of) + 1, bool)  # the string before has the same anchor
+            goes_on[1:-1] = of[1:] & of[:-1] & (place[1:] == place[:-1])
+            first, last = np.flatnonzero(of & ~goes_on[:-1]), np.flatnonzero(of & ~goes_on[1:])
+            found.append([first + low, last + low, place[first], h[place[first] - low]])
+        self.first, self.last, self.anchor, self.key = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.row = np.searchsorted(at, self.first, "right") - 1
 
     def take(self, which: np.ndarray) -> "Runs":
         out = object.__new__(Runs)
@@ -182,16 +194,53 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, stop: n
 
 def repeated(data: np.ndarray, first: np.ndarray, anchor: np.ndarray, stop: np.ndarray, key: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For each record, a bit for each of its strings (by the anchor's distance from its start) that a record of a
-    smaller id has too. Records are byte ranges [first, stop) of data; those of one anchor have one key."""
+    smaller id has too. Records are byte ranges [first, stop) of data; those of one anchor have one key.
+
+    Records of equal content are one suffix to sort, with their smallest id; the others lose all their strings. A key with
+    one content only needs no sorting.
+    """
+    n = len(first)
+    if not n:
+        return np.zeros(0, np.uint64)
+    prefix = B.prefix_hashes(data)
+    shape = ((stop - first) * 128 + anchor - first).astype(np.uint64)
+    content = B.mix(B.range_hashes(prefix, first, stop) ^ B.mix(shape))
+    order = np.lexsort((ids, content, key))
+    k, c = key[order], content[order]
+    new = np.ones(n, bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    pick = order[new]
+    of = np.empty(n, np.int64)
+    of[order] = np.cumsum(new) - 1
+    # every string of the record, from its last start to its first
+    low, high = anchor + length - stop, anchor - first
+    every = ((np.uint64(1) << (high - low + 1).astype(np.uint64)) - np.uint64(1)) << low.astype(np.uint64)
+    later = np.flatnonzero(ids > ids[pick][of])
+    size = stop - first
+    for part in np.array_split(later, 1 + len(later) // 100_000):
+        at = np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        mine, other = np.repeat(first[part], size[part]) + at, np.repeat(first[pick[of[part]]], size[part]) + at
+        if not np.array_equal(data[mine], data[other]):
+            raise ValueError("two different strings have one 64-bit hash; use another byte table")
+    mixed = np.zeros(len(pick), bool)
+    same = key[pick][1:] == key[pick][:-1]
+    mixed[1:] |= same
+    mixed[:-1] |= same
+    masks = np.zeros(len(pick), np.uint64)
+    some = pick[mixed]
+    masks[mixed] = sorted_masks(data, prefix, first[some], anchor[some], stop[some], key[some], ids[some], length)
+    out = masks[of]
+    out[later] = every[later]
+    return out
+
+
+def sorted_masks(data: np.ndarray, prefix: np.ndarray, first: np.ndarray, anchor: np.ndarray, stop: np.ndarray, key: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """`repeated` for records of different contents, in order of key."""
     n, gram = len(first), min(GRAM, length)
     masks = np.zeros(n, np.uint64)
     if not n:
         return masks
-    prefix = B.prefix_hashes(data)
-    by_key = np.argsort(key, kind="stable")
-    first, anchor, stop, ids = first[by_key], anchor[by_key], stop[by_key], ids[by_key]
-    k = key[by_key]
-    group = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
+    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
     order = suffix_sort(data, prefix, anchor, stop, group)
     x, y = order[:-1], order[1:]
     most = np.minimum(stop[x] - anchor[x], stop[y] - anchor[y])
@@ -205,7 +254,6 @@ def repeated(data: np.ndarray, first: np.ndarray, anchor: np.ndarray, stop: np.n
         at = np.where(inside, reach, 0)
         if ((data[anchor[x[p]][:, None] + at] != data[anchor[y[p]][:, None] + at]) & inside).any():
             raise ValueError("two different strings have one 64-bit hash; use another byte table")
-    sorted_masks = np.zeros(n, np.uint64)
     for d in range(length - gram + 1):
         start = anchor[order] - d
         valid = np.flatnonzero((start >= first[order]) & (start + length <= stop[order]))
@@ -225,12 +273,30 @@ def repeated(data: np.ndarray, first: np.ndarray, anchor: np.ndarray, stop: np.n
             a, b = anchor[w[g]] - d, anchor[least[g]] - d
             if (data[a[:, None] + reach] != data[b[:, None] + reach]).any():
                 raise ValueError("two different strings have one 64-bit hash; use another byte table")
-        sorted_masks[w[gone]] |= np.uint64(1) << np.uint64(d)
-    masks[by_key] = sorted_masks
+        masks[w[gone]] |= np.uint64(1) << np.uint64(d)
+    return masks
+
+
+def repeated_in_slices(data: np.ndarray, size: np.ndarray, left: np.ndarray, key: np.ndarray, ids: np.ndarray, length: int, most: int = 1 << 20) -> np.ndarray:
+    """`repeated` for records that lie one after another in data, some anchors at a time: about `most` bytes, unless one
+    anchor has more. left is where a record's anchor begins."""
+    masks, order, stop = np.zeros(len(size), np.uint64), np.argsort(key, kind="stable"), np.cumsum(size)
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(size[order])])
+    low = 0
+    while low < len(order):
+        high = int(edge[k]) if (k := np.searchsorted(edge, np.searchsorted(before, before[low] + most))) < len(edge) else len(order)
+        mine = order[low:high]
+        n = size[mine]
+        end = np.cumsum(n)
+        content = data[np.arange(end[-1]) + np.repeat(stop[mine] - end, n)]
+        masks[mine] = repeated(content, end - n, end - n + left[mine], end, key[low:high], ids[mine], length)
+        low = high
     return masks
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = C.CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of each row of docs.
 
     docs has an integer doc_id and text; other columns are ignored. Null texts are empty. Rows with equal ids never
@@ -240,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = C.CHUNK
     if not 2 <= length <= GRAM + 60:
         raise ValueError("length must be from 2 to 84")
     chunks = C.chunked(docs.select("doc_id", "text"), "suffix-chunks", chunk_bytes)
-    parts = C.parts_of(chunks)
+    parts = C.parts_of(chunks, 8 << 20)  # what a part sorts is at most a few times its share of the text
     bounds = part_bounds(parts)
     bounds48 = bounds >> np.uint64(16)
 
@@ -305,8 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = C.CHUNK
         size = np.concatenate([C.unpack_small(x) for x in cols[4]])
         left = np.concatenate([C.unpack_small(x) for x in cols[5]])
         ids = np.concatenate([np.frombuffer(C.unpack(x), np.int64) for x in cols[6]])
-        stop = np.cumsum(size)
-        masks = repeated(data, stop - size, stop - size + left, stop, np.concatenate(keys), ids, length)
+        masks = repeated_in_slices(data, size, left, np.concatenate(keys), ids, length)
         for chunk, part, mask in zip(cols[0], cols[1], np.split(masks, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
             yield chunk, 2, part, C.pack_small(mask)
 
