@@ -70,19 +70,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[Da
     placed = terms_of(items).withColumn("code", F.xxhash64("term")).join(counts, "code", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     # the two rarest places of every window; one pair serves all windows that share it
     starts = placed.withColumn("s", F.explode(F.expr("sequence(greatest(p - size + 1, 0), least(p, length - size))")))
-    rarest = starts.groupBy("ik", "s").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "p", "code"))), 1, 2).alias("r"))
-    pairs = rarest.where(F.col("r")[0]["count"] > 0).select("ik", F.transform("r", lambda x: F.struct(x.p.alias("p"), x.code.alias("term"))).alias("r")).distinct()
-    ends = pairs.select("ik", F.xxhash64("ik", F.col("r.p")).alias("pair"), F.size("r").alias("need"), F.posexplode("r").alias("end", "x"))
-    anchors = written(ends.select("ik", "pair", "need", "end", F.col("x.p").alias("p"), F.col("x.term").alias("term")), "anchors")
-    shifted = postings.select("doc_id", "uid", "pos", "term").join(_small(anchors), "term").select("doc_id", "uid", "ik", "pair", "need", (F.col("pos") - F.col("p")).alias("d"), "end")
-    both = shifted.groupBy("doc_id", "uid", "ik", "pair", "need", "d").agg(F.min("end").alias("low"), F.max("end").alias("high")).where((F.col("low") == 0) & (F.col("high") == F.col("need") - 1))
-    by_doc = written(both.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("ik", "d")).alias("found")), "diagonals")
+    rarest = starts.groupBy("ik", "length", "s").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "p", "code"))), 1, 2).alias("r"))
+    pairs = rarest.where(F.col("r")[0]["count"] > 0).select("ik", "length", F.transform("r", lambda x: F.struct(x.p.alias("p"), x.code.alias("term"))).alias("r")).distinct()
+    ends = pairs.select("ik", "length", F.xxhash64("ik", F.col("r.p")).alias("pair"), F.size("r").alias("need"), F.posexplode("r").alias("end", "x"))
+    anchors = written(ends.select("ik", "length", "pair", "need", "end", F.col("x.p").alias("p"), F.col("x.term").alias("term")), "anchors")
+    shifted = postings.select("doc_id", "uid", "pos", "term").join(_small(anchors), "term").select("doc_id", "uid", "ik", "length", "pair", "need", (F.col("pos") - F.col("p")).alias("d"), "end")
+    both = shifted.groupBy("doc_id", "uid", "ik", "length", "pair", "need", "d").agg(F.min("end").alias("low"), F.max("end").alias("high")).where((F.col("low") == 0) & (F.col("high") == F.col("need") - 1))
+    by_doc = written(both.groupBy("doc_id", "uid").agg(F.collect_set(F.struct("ik", "length", "d")).alias("found")), "diagonals")
     texts = docs.select("doc_id", F.xxhash64("text").alias("uid"), "text")
     keys = by_doc.select(F.col("doc_id").alias("d_id"), F.col("uid").alias("d_uid"), "found")
     near = texts.join(_small(keys), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("uid") == F.col("d_uid")))
-    near = near.select("doc_id", "uid", words(F.col("text")).alias("w"), "found").select("doc_id", "uid", "w", F.explode("found").alias("x"))
-    near = near.select("doc_id", "uid", "w", F.col("x.ik").alias("ik"), F.col("x.d").alias("d")).join(_small(items), "ik")
-    near = near.select("doc_id", "uid", "item_id", "iw", "size", "d", F.slice("w", F.greatest("d", F.lit(0)) + 1, F.size("iw")).alias("there"))
+    # a generator keeps the words from being cut anew for each diagonal; then each takes its few words along
+    once = F.inline(F.array(F.struct(words(F.col("text")).alias("w"), "found")))
+    there = F.transform("found", lambda x: F.struct(x.ik.alias("ik"), x.d.alias("d"), F.slice(F.col("w"), F.greatest(x.d, F.lit(0)) + 1, x.length).alias("there")))
+    near = near.select("doc_id", "uid", once).select("doc_id", "uid", F.explode(there).alias("x"))
+    near = near.select("doc_id", "uid", "x.*").join(_small(items), "ik")
     lead = F.greatest(-F.col("d"), F.lit(0))
     same = F.transform("iw", lambda w, p: F.coalesce((p >= lead) & (F.get(F.col("there"), F.greatest(p - lead, F.lit(0))) == w), F.lit(False)))
     near = near.select("doc_id", "uid", "item_id", "iw", "size", "d", same.alias("same"))
