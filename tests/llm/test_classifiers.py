@@ -73,11 +73,13 @@ def test_accepted_keeps_columns(trained, docs):
 
 
 def test_attention_gradients():
-    """A small bag problem that only attention solves: one passage in a bag decides."""
+    """A small bag problem that attention solves: one passage in a bag decides. Few features carry noise, as 300 bags
+    can't tell many apart."""
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 9, 400)
     first = np.cumsum(sizes) - sizes
-    x = rng.standard_normal((sizes.sum(), Q.WIDTH)).astype(np.float32)
+    x = np.zeros((sizes.sum(), Q.WIDTH), np.float32)
+    x[:, :6] = rng.standard_normal((len(x), 6))
     y = rng.integers(0, 2, 400).astype(np.float32)
     for k, (f, s) in enumerate(zip(first, sizes, strict=True)):
         x[f : f + s, 0] = -1
