@@ -15,6 +15,7 @@ from ballotspark.llm import (
     suffix_dedup,
     toxicity_cnn,
 )
+from ballotspark.llm.storage import written
 from ballotspark.llm.tables import fold_of, table
 
 
@@ -61,9 +62,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: the benchmark's rows with an id divisible by 20, whole texts, against all documents."""
-    queries = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "text")
-    out = bm25_wand.search(bm25_wand.index(table(spark, sf_dir, "documents")), queries, k=10)
+    """Queries: the documents with an id divisible by 20, whole texts, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    queries = written(docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"), "bm25-queries")
+    out = bm25_wand.search(bm25_wand.index(docs), queries, k=10)
     return out.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
