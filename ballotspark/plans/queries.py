@@ -233,7 +233,7 @@ SELECT cause, count(*) AS n FROM c GROUP BY cause""")(
     lambda spark, sf: P.rendered(spark, sf).join(P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2 == 0).alias("cut")), "id").groupBy(A.wrong_cause(F.col("text"), F.col("cut"), A.extract_answer(F.col("text"))).alias("cause")).agg(F.count("*").alias("n"))
 )
 query("solution_integer", f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 IN (2) THEN '1' WHEN o_orderkey % 8 IN (0) THEN CAST({N} AS VARCHAR) WHEN o_orderkey % 8 = 5 THEN CAST({N} AS VARCHAR) WHEN o_orderkey % 8 = 3 THEN CAST(regexp_extract(format('{{:,}}', {N}), '^(\\d+)$', 1) AS VARCHAR) END AS answer FROM orders WHERE o_orderkey % 8 IN (0, 1, 2, 5, 6, 7)""")(
-    lambda spark, sf: P.rendered(spark, sf).where("id % 8 IN (0, 1, 2, 5, 6, 7)").select("id", A.final_integer(F.col("text")).alias("answer"))
+    lambda spark, sf: P.rendered(spark, sf).select("id", A.final_integer(F.col("text")).alias("answer"))
 )
 
 # ---- audits and gates --------------------------------------------------------------------------------------------
