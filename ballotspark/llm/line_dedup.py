@@ -226,13 +226,15 @@ def dedup(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(probe_of, shards)
-        for b in batches:
-            hi, lo, s = (np.array(b.column(k), np.int64) for k in range(3))
-            yield b.filter(pa.array(probe(hi.view(np.uint64), lo.view(np.uint64), s))).select(["hi", "lo"])
-
-    # Keys the filters hold though the counts don't: about 1 in 8,000 of the keys below the limit. The reference counts
-    # already list every key once, so they are probed rather than the texts once more.
-    wrong = state.refs.where(F.col("n") < state.min_docs).select("hi", "lo", _shard(shards).alias("shard")).mapInArrow(passing, "hi long, lo long")
+        for _, data, at in B.doc_blocks(batches, 4 << 20):
+            d = np.array([digest(k) for k in {k for t in _texts(data, at) for k in keys(t) if k}], np.uint64).reshape(-1, 2)
+            d = d[probe(d[:, 0], d[:, 1], np.zeros(len(d), np.int64) if one else shard_of(d, shards))]
+            yield pa.RecordBatch.from_arrays([_long(d[:, 0]), _long(d[:, 1])], ["hi", "lo"])
+
+    # Keys of these texts that the filters hold though the counts don't: about 1 in 8,000 of the others. They are looked
+    # for in the texts, as a key that isn't in the counts at all (of a new document, or too short) can be one too.
+    often = state.refs.where(F.col("n") >= state.min_docs).select("hi", "lo")
+    wrong = docs.select("text").mapInArrow(passing, "hi long, lo long").distinct().join(often, ["hi", "lo"], "left_anti")
     wrong = written(wrong, "line-exceptions")
     if wrong.count() * 16 > broadcast_bytes:
         return _by_join(docs, state)

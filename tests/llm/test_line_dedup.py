@@ -79,3 +79,30 @@ def test_shards_in_python_and_spark(spark):
     want = {(r["hi"], r["lo"]): r["s"] for r in df.select("hi", "lo", L._shard(7).alias("s")).collect()}
     got = L.shard_of(a.view(np.uint64), 7)
     assert [want[(int(x), int(y))] for x, y in a] == got.tolist()
+
+
+def colliding(state, template: str) -> bytes:
+    """A key that the only filter holds though it never was inserted."""
+    (held,) = [L.CuckooFilter.load(bytes(r["data"])) for r in state.filters.collect()]
+    for start in range(0, 2_000_000, 50_000):
+        names = [(template % k).encode() for k in range(start, start + 50_000)]
+        d = np.array([L.digest(x) for x in names], np.uint64)
+        if len(found := np.flatnonzero(held.contains(d[:, 0], d[:, 1]))):
+            return names[found[0]]
+    raise AssertionError("no key collides")
+
+
+def test_keys_that_the_counts_lack_stay(spark):
+    """Of documents outside the state, of deleted ones, and shorter than min_chars."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    known = frame([(k, "\n".join(f"a common line {j}" for j in range(3))) for k in range(4)])
+    state = L.build(known, min_docs=3, min_chars=9)
+    for template in ("new line %d", "%x"):
+        key = colliding(state, template).decode()
+        assert (len(key) < 9) == (template == "%x")
+        new = frame([(10, f"{key}\na common line 1"), (11, f"{key}\nother")])
+        want = [(10, key, 2, 1), (11, f"{key}\nother", 2, 0)]
+        back = L.delete(L.insert(state, new, min_chars=9), new, min_chars=9)
+        for s in (state, back):
+            for size in (L.BROADCAST_BYTES, 0):
+                assert collected(L.dedup(new, s, size), "doc_id", "text", "n_lines", "n_dropped") == want
