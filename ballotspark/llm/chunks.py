@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballotspark.llm import blocks as B
 from ballotspark.llm.storage import bucketed
@@ -22,6 +23,8 @@ from ballotspark.llm.storage import bucketed
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 24 << 20
 BUCKET_BYTES = 32 << 20
+#: Up to so much text, chunks and parts have the sizes that are asked for; beyond it both grow, up to these factors.
+GROW_FROM, GROW_CHUNK, GROW_PART = 256 << 30, 4, 8
 
 
 def pack(data: bytes, level: int = 1) -> bytes:
@@ -54,6 +57,13 @@ def unpack_small(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw).view(np.uint64).ravel().astype(np.int64)
 
 
+def grown(bytes_: int, total: int, most: int) -> int:
+    """Size of a chunk or part. The messages between chunks and parts are their product, or one for each key if that
+    is less; as both sizes grow with the root of the text, the product doesn't outgrow the text before they are at
+    their largest."""
+    return int(bytes_ * min(most, max(1.0, (total / GROW_FROM) ** 0.5)))
+
+
 def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, rows, sizes, data) of docs, whose columns are `text` and some scalar ones, in buckets by chunk.
 
@@ -62,7 +72,7 @@ def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keep = [f for f in docs.schema if f.name != "text"]
-    struct = "struct<" + ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in keep) + ">"
+    bytes_ = grown(bytes_, total, GROW_CHUNK)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +80,7 @@ def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def row() -> pa.RecordBatch:
-            rows = pa.concat_arrays([pa.StructArray.from_arrays([b.column(f.name) for f in keep], [f.name for f in keep]) for b, _, _ in held])
+            rows = pa.concat_arrays([pa.StructArray.from_arrays(b.columns[: len(keep)], [f.name for f in keep]) for b, _, _ in held])
             sizes = np.concatenate([np.diff(at) for _, _, at in held]).astype(np.int32)
             data = pack(b"".join(d.tobytes() for _, d, _ in held), 3)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(rows)], rows), pa.ListArray.from_arrays([0, len(sizes)], pa.array(sizes)), pa.array([data], pa.binary())], ["chunk", "rows", "sizes", "data"])
@@ -84,8 +94,8 @@ def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield row()
 
-    ordered = docs.select(*(f.name for f in keep), "text")
-    schema = f"chunk long, rows array<{struct}>, sizes array<int>, data binary"
+    ordered = docs.select(*(F.col(quoted(f.name)).alias(f"c{k}") for k, f in enumerate(keep)), "text")
+    schema = T.StructType().add("chunk", "long").add("rows", T.ArrayType(T.StructType(keep))).add("sizes", T.ArrayType(T.IntegerType())).add("data", "binary")
     out = bucketed(ordered.mapInArrow(packed, schema), name, "chunk", int(4 + total // max(bytes_, BUCKET_BYTES)), "uncompressed")
     out._text_bytes = total
     return out
@@ -93,7 +103,11 @@ def chunked(docs: DataFrame, name: str, bytes_: int = CHUNK_BYTES) -> DataFrame:
 
 def parts_of(chunks: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Partitions of the key space, in proportion to the text."""
-    return int(4 + chunks._text_bytes // part_bytes)
+    return int(4 + chunks._text_bytes // grown(part_bytes, chunks._text_bytes, GROW_PART))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def opened(batch: pa.RecordBatch, k: int = 0) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:

@@ -1,30 +1,39 @@
 """Tables written to the folder that driver and executors share.
 
-`spark.checkpoint.dir` names that folder; only where the session has none (tests, notebooks) one is made
-under the local temp folder. A written table cuts lineage: a lost executor costs a re-read, not a recomputation.
-Tables are removed when the Python process ends, or earlier by `drop`.
+`spark.checkpoint.dir` names that folder; only where the session has none and runs in one process (tests, notebooks)
+one is made under the local temp folder. A written table cuts lineage: a lost executor costs a re-read, not a
+recomputation. Tables and their catalog entries are removed when the Python process ends, or earlier by `drop`.
 """
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Buckets of a table; Spark takes 100,000 at most.
+MOST_BUCKETS = 1 << 14
+
 _LOCAL: list[str] = []
-_WRITTEN: dict[str, SparkSession] = {}
+_WRITTEN: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="ballotspark-"))
     return f"file://{_LOCAL[0]}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(path: str) -> None:
+    spark, name = _WRITTEN.pop(path)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -32,11 +41,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for path, spark in list(_WRITTEN.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return
+    for path in list(_WRITTEN):
+        with contextlib.suppress(Exception):  # the JVM may be gone at exit
+            _delete(path)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -44,26 +51,27 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _WRITTEN[path] = spark
+    _WRITTEN[path] = spark, None
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str = "zstd") -> DataFrame:
-    """As `written`, dealt out by a key: grouping by it, or joining on it, moves only the other side."""
+    """As `written`, dealt out by a key: grouping by it, or joining on it, moves only the other side. Beyond
+    `MOST_BUCKETS` a bucket holds more, not fewer, rows."""
     spark = df.sparkSession
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{table}"
-    df.write.option("compression", compression).option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    _WRITTEN[path] = spark
+    df.write.option("compression", compression).option("path", path).bucketBy(max(1, min(buckets, MOST_BUCKETS)), key).saveAsTable(table)
+    _WRITTEN[path] = spark, table
     out = spark.table(table)
     out._written_path = path
     return out
 
 
 def drop(df: DataFrame) -> None:
-    """Remove a table of `written` that nothing reads any more."""
+    """Remove a table of `written` or `bucketed` that nothing reads any more."""
     path = getattr(df, "_written_path", None)
     if path in _WRITTEN:
-        _delete(_WRITTEN.pop(path), path)
+        _delete(path)
