@@ -161,7 +161,7 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least
 OP8_SQL = f"""
 WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS average FROM dw),
-qw AS (SELECT item_id AS query_id, unnest(list_distinct(w)) AS word FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id % 20 = 0)),
+qw AS (SELECT doc_id AS query_id, unnest(list_distinct(w)) AS word FROM dw WHERE doc_id % 20 = 0),
 tf AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM dw) WHERE word IN (SELECT word FROM qw) GROUP BY ALL),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 scored AS (
