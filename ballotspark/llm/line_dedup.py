@@ -3,8 +3,10 @@
 State is two tables. `refs` (hi, lo, n) counts for each line key, by its 128-bit digest, the documents that hold it;
 it is exact, and inserting or deleting documents adds or subtracts. `filters` (shard, n_keys, data) has a cuckoo
 filter for the keys of each shard that have reached min_docs; keys that cross the limit are inserted or deleted, so
-the state after deleting a batch is the state before it came. Filters are small enough to be sent to where the texts
-are: a line that its shard's filter doesn't hold needs no look-up at all. Hits are settled by the exact counts.
+the state after deleting a batch is the state before it came. A line that its shard's filter doesn't hold needs no
+look-up at all; hits are settled by the exact counts. While the bytes of filters and exceptions are within a bound they
+go to where the texts are; beyond it each chunk of texts sends its distinct keys, once each, to their shards, where the
+filter and the counted keys are, and gets back which ones go. `save` and `load` keep a state across runs.
 """
 
 import hashlib
@@ -18,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ballotspark.llm import blocks as B
+from ballotspark.llm import chunks as C
 from ballotspark.llm.storage import written
 
-#: Filters and exceptions larger than this aren't broadcast; lines then go to the counts instead.
-BROADCAST_BYTES = 64 << 20
+#: Filters and exceptions of more bytes aren't broadcast; keys then go to the filters.
+BROADCAST_BYTES = 32 << 20
 SHARD_KEYS = 100_000
-SALTS = 16
+#: Text whose keys meet one copy of a shard's filter.
+SALT_BYTES = 64 << 20
 
 
 class CuckooFilter:
@@ -49,7 +54,7 @@ class CuckooFilter:
             buckets *= 2
         while True:
             out = cls(buckets)
-            if all(out.insert(int(a), int(b)) for a, b in zip(hi, lo, strict=True)):
+            if all(out.insert(int(hi[k]), int(lo[k])) for k in out._fill(np.asarray(hi), np.asarray(lo))):
                 return out
             buckets *= 2
 
@@ -71,6 +76,21 @@ class CuckooFilter:
         fingerprint, one, two = self.places(hi, lo)
         return (self.table[one] == fingerprint[:, None]).any(1) | (self.table[two] == fingerprint[:, None]).any(1)
 
+    def _fill(self, hi: np.ndarray, lo: np.ndarray) -> list[int]:
+        """Put all keys that find a free slot there, many at once; the numbers of the others."""
+        fingerprint, *homes = self.places(hi, lo)
+        left = np.arange(len(hi))
+        for home in homes:
+            left = left[np.argsort(home[left], kind="stable")]
+            bucket = home[left]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else left
+            rank = np.arange(len(left)) - np.repeat(first, np.diff(np.append(first, len(left))))
+            used = (self.table[bucket] != 0).sum(1)  # slots are filled from the first
+            fits = used + rank < self.SLOTS
+            self.table[bucket[fits], (used + rank)[fits]] = fingerprint[left[fits]]
+            left = left[~fits]
+        return left.tolist()
+
     def insert(self, hi: int, lo: int) -> bool:
         fingerprint, one, two = (x[0] for x in self.places(np.array([hi], np.uint64), np.array([lo], np.uint64)))
         for b in (one, two):
@@ -124,7 +144,8 @@ def _texts(data: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def line_refs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(hi, lo, n): documents (rows) that hold each key of at least min_chars code points. Null text: one empty line."""
+    """(hi, lo, n): documents (rows) that hold each key of at least min_chars code points. Null text: one empty line,
+    which has no key. Repeated rows count each; an empty table gives none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in B.doc_blocks(batches, 8 << 20):
@@ -171,7 +192,7 @@ def _filters(crossing: DataFrame, old: DataFrame | None, shards: int, refs: Data
 
 
 def build(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> State:
-    """State of a corpus. The number of shards follows the number of keys that have reached min_docs."""
+    """State of a corpus, an empty one too. The number of shards follows the number of keys that have reached min_docs."""
     refs = written(line_refs(docs, min_chars), "line-refs")
     shards = 1 + refs.where(F.col("n") >= min_docs).count() // SHARD_KEYS
     return State(refs, written(_filters(None, None, shards, refs, min_docs), "line-filters"), shards, min_docs)
@@ -182,7 +203,7 @@ def _changed(state: State, docs: DataFrame, sign: int, min_chars: int) -> State:
     both = written(state.refs.select("hi", "lo", "n", F.lit(0).cast("long").alias("by")).unionByName(batch.select("hi", "lo", F.lit(0).cast("long").alias("n"), "by")).groupBy("hi", "lo").agg(F.sum("n").alias("was"), F.sum("by").alias("by")), "line-both")
     was, now = F.col("was") >= state.min_docs, F.col("was") + F.col("by") >= state.min_docs
     crossing = both.where(was != now).select("hi", "lo", now.alias("up"))
-    refs = both.select("hi", "lo", (F.col("was") + F.col("by")).alias("n")).where("n > 0")
+    refs = both.select("hi", "lo", (F.col("was") + F.col("by")).alias("n")).where("n <> 0")
     return State(refs, written(_filters(crossing, state.filters, state.shards, refs, state.min_docs), "line-filters"), state.shards, state.min_docs)
 
 
@@ -191,10 +212,45 @@ def insert(state: State, docs: DataFrame, min_chars: int = 1) -> State:
 
 
 def delete(state: State, docs: DataFrame, min_chars: int = 1) -> State:
-    """Documents that were inserted before; afterwards the state is as if they had never come."""
+    """Documents that were inserted before; afterwards the state is as if they had never come.
+
+    Documents that weren't inserted lower the counts all the same, below 0 if need be; inserting them restores the
+    state, so insertions and deletions may come in any order. Null texts, repeated rows and an empty table are as in
+    `dedup`: one empty line, which isn't counted; a document each; no change.
+    """
     return _changed(state, docs, -1, min_chars)
 
 
+def save(state: State, path: str) -> None:
+    """Keep a state in a folder that isn't there yet."""
+    spark = state.refs.sparkSession
+    state.refs.write.parquet(f"{path}/refs")
+    state.filters.write.parquet(f"{path}/filters")
+    spark.createDataFrame([(state.shards, state.min_docs)], "shards long, min_docs long").write.parquet(f"{path}/parameters")
+
+
+def load(spark, path: str) -> State:
+    p = spark.read.schema("shards long, min_docs long").parquet(f"{path}/parameters").first()
+    refs = spark.read.schema("hi long, lo long, n long").parquet(f"{path}/refs")
+    return State(refs, spark.read.schema("shard long, n_keys long, data binary").parquet(f"{path}/filters"), p["shards"], p["min_docs"])
+
+
+class Keys:
+    """A set of 128-bit keys in sorted arrays."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray):
+        order = np.lexsort((lo, hi))
+        self.hi, self.lo = hi[order], lo[order]
+
+    def holds(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hi), bool)
+        at, stop = np.searchsorted(self.hi, hi), np.searchsorted(self.hi, hi, "right")
+        while (more := np.flatnonzero(at < stop)).size:  # keys of one hi are hardly ever two
+            out[more] |= self.lo[at[more]] == lo[more]
+            at[more] += 1
+        return out
+
+
 class Probe:
     """The filters of all shards at one place."""
 
@@ -210,25 +266,41 @@ class Probe:
         return out
 
 
+def _shards_of(d: np.ndarray, shards: int) -> np.ndarray:
+    return np.zeros(len(d), np.int64) if shards == 1 else shard_of(d, shards)
+
+
+def _digests(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct keys that aren't empty, and their digests."""
+    held = list({k for t in texts for k in keys(t) if k})
+    return held, np.array([digest(k) for k in held], np.uint64).reshape(-1, 2)
+
+
+def _without(texts: list[bytes], gone: set[bytes]) -> tuple[list[list[bytes]], list[int]]:
+    """Lines that stay, and how many there were."""
+    split = [t.split(b"\n") for t in texts]
+    return [[x for x in t if x.strip().lower() not in gone] for t in split] if gone else split, [len(t) for t in split]
+
+
 def dedup(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the lines gone whose key min_docs documents or more hold, and with n_lines and n_dropped.
 
-    All columns of docs stay (a column named n_lines or n_dropped is replaced); null text becomes "" with one line.
-    Lines that stay are joined by line ends as they were. Repeated rows each stay; an empty table gives none.
+    All columns of docs stay, whatever their names (a column named n_lines or n_dropped is replaced); null text becomes
+    "" with one line. Texts and lines of any length are taken whole. Lines that stay are joined by line ends as they
+    were. Repeated rows each stay; an empty table gives none.
     """
     docs = docs.drop("n_lines", "n_dropped")
     size = state.filters.agg(F.coalesce(F.sum(F.length("data") + 16), F.lit(0)).alias("x")).first()["x"]
     if size > broadcast_bytes:
-        return _by_join(docs, state)
+        return _by_shard(docs, state)
     probe_of = [(r["shard"], r["data"]) for r in state.filters.collect()]
     shards = state.shards
-    one = shards == 1
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(probe_of, shards)
         for _, data, at in B.doc_blocks(batches, 4 << 20):
-            d = np.array([digest(k) for k in {k for t in _texts(data, at) for k in keys(t) if k}], np.uint64).reshape(-1, 2)
-            d = d[probe(d[:, 0], d[:, 1], np.zeros(len(d), np.int64) if one else shard_of(d, shards))]
+            _, d = _digests(_texts(data, at))
+            d = d[probe(d[:, 0], d[:, 1], _shards_of(d, shards))]
             yield pa.RecordBatch.from_arrays([_long(d[:, 0]), _long(d[:, 1])], ["hi", "lo"])
 
     # Keys of these texts that the filters hold though the counts don't: about 1 in 8,000 of the others. They are looked
@@ -236,25 +308,79 @@ def dedup(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES)
     often = state.refs.where(F.col("n") >= state.min_docs).select("hi", "lo")
     wrong = docs.select("text").mapInArrow(passing, "hi long, lo long").distinct().join(often, ["hi", "lo"], "left_anti")
     wrong = written(wrong, "line-exceptions")
-    if wrong.count() * 16 > broadcast_bytes:
-        return _by_join(docs, state)
-    exceptions = {(r["hi"] % (1 << 64), r["lo"] % (1 << 64)) for r in wrong.collect()}
+    if size + wrong.count() * 16 > broadcast_bytes:
+        return _by_shard(docs, state)
+    got = wrong.toArrow()
+    exceptions = Keys(*(got[c].to_numpy().view(np.uint64) for c in ("hi", "lo")))
+    names = docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(probe_of, shards)
         for rows, data, at in B.doc_blocks(batches, 4 << 20):
-            texts = [t.split(b"\n") for t in _texts(data, at)]
-            known: dict[bytes, bool] = dict.fromkeys(k for t in texts for x in t if (k := x.strip().lower()))
-            d = [digest(k) for k in known]
-            a = np.array(d, np.uint64).reshape(-1, 2)
-            drop = probe(a[:, 0], a[:, 1], np.zeros(len(d), np.int64) if one else shard_of(a, shards))
-            for k, x, y in zip(known, drop.tolist(), d, strict=True):
-                known[k] = x and y not in exceptions
-            known[b""] = False
-            kept = [[x for x in t if not known[x.strip().lower()]] for t in texts]
-            yield _row_batch(rows, kept, [len(t) for t in texts])
+            texts = _texts(data, at)
+            held, d = _digests(texts)
+            drop = probe(d[:, 0], d[:, 1], _shards_of(d, shards))
+            hit = np.flatnonzero(drop)
+            gone = {held[k] for k in hit[~exceptions.holds(d[hit, 0], d[hit, 1])].tolist()}
+            yield _row_batch(rows, names, *_without(texts, gone))
 
-    return docs.mapInArrow(rewrite, _out_schema(docs))
+    plain = docs.toDF(*(n if n == "text" else f"c{k}" for k, n in enumerate(names)))
+    return plain.mapInArrow(rewrite, _out_schema(docs))
+
+
+def _by_shard(docs: DataFrame, state: State) -> DataFrame:
+    """The same rows where filters are too large to send: keys go to the shards' filters."""
+    chunks = C.chunked(docs, "line-chunks")
+    shards = state.shards
+    salts = int(1 + chunks._text_bytes // (shards * SALT_BYTES))
+
+    def question(chunk, rows, data, at):
+        _, d = _digests(_texts(data, at))
+        shard = _shards_of(d, shards)
+        order = np.lexsort((d[:, 1], d[:, 0], shard))
+        d, shard = d[order], shard[order]
+        for mine in np.split(np.arange(len(d)), np.flatnonzero(np.diff(shard)) + 1):
+            if len(mine):
+                yield chunk, int(shard[mine[0]]), chunk % salts, C.pack_longs(d[mine, 0]), C.pack(d[mine, 1].tobytes())
+
+    asked = C.ask(chunks, question, "chunk long, shard long, salt long, hi binary, lo binary")
+    often = state.refs.where(F.col("n") >= state.min_docs).groupBy(_shard(shards).alias("shard")).agg(F.collect_list(F.struct("hi", "lo")).alias("held"))
+    sides = state.filters.join(often, "shard").select("shard", "data", "held", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("salt"))
+    schema = "chunk long, hi binary, lo binary"
+    arrow = C._arrow(schema)
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        held = right["held"].combine_chunks()
+        held = held.flatten() if not isinstance(held, pa.ChunkedArray) else held.chunk(0).flatten()
+        f, counted = CuckooFilter.load(right["data"][0].as_py()), Keys(*(held.field(c).to_numpy().view(np.uint64) for c in ("hi", "lo")))
+        out = []
+        for chunk, hi, lo in zip(*(left[c].to_pylist() for c in ("chunk", "hi", "lo")), strict=True):
+            hi, lo = C.unpack_longs(hi), np.frombuffer(C.unpack(lo), np.uint64)
+            hit = np.flatnonzero(f.contains(hi, lo))
+            hit = hit[counted.holds(hi[hit], lo[hit])]
+            if len(hit):
+                out.append({"chunk": chunk, "hi": hi[hit].tobytes(), "lo": lo[hit].tobytes()})
+        return pa.Table.from_pylist(out, arrow)
+
+    answers = asked.groupBy("shard", "salt").cogroup(sides.groupBy("shard", "salt")).applyInArrow(settle, schema)
+    out_schema = _out_schema(docs)
+    names = docs.columns
+
+    def rewrite(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return to_arrow_schema(out_schema).empty_table()
+        _, rows, data, at = C.opened(left.combine_chunks().to_batches()[0])
+        texts = _texts(data, at)
+        held, d = _digests(texts)
+        found = Keys(*(np.frombuffer(b"".join(right[c].to_pylist()), np.uint64) for c in ("hi", "lo")))
+        gone = {held[k] for k in np.flatnonzero(found.holds(d[:, 0], d[:, 1])).tolist()}
+        kept = {f.name: rows.field(k) for k, f in enumerate(rows.type)}
+        batch = pa.RecordBatch.from_arrays([kept.get(n, pa.nulls(len(rows))) for n in names], names)
+        return pa.Table.from_batches([_row_batch(batch, names, *_without(texts, gone))]).cast(to_arrow_schema(out_schema))
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rewrite, out_schema)
 
 
 def shard_of(d: np.ndarray, shards: int) -> np.ndarray:
@@ -277,39 +403,8 @@ def _out_schema(docs: DataFrame) -> T.StructType:
     return T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
 
-def _row_batch(rows: pa.RecordBatch, kept: list[list[bytes]], n_lines: list[int]) -> pa.RecordBatch:
+def _row_batch(rows: pa.RecordBatch, names: list[str], kept: list[list[bytes]], n_lines: list[int]) -> pa.RecordBatch:
     text = pa.array([b"\n".join(x) for x in kept], pa.binary()).cast(pa.string())
-    columns = [text if n == "text" else rows.column(k) for k, n in enumerate(rows.schema.names)]
+    columns = [text if n == "text" else rows.column(k) for k, n in enumerate(names)]
     n = pa.array(n_lines, pa.int64())
-    return pa.RecordBatch.from_arrays([*columns, n, pa.array([a - len(x) for a, x in zip(n_lines, kept, strict=True)], pa.int64())], [*rows.schema.names, "n_lines", "n_dropped"])
-
-
-def _by_join(docs: DataFrame, state: State) -> DataFrame:
-    """The same rows where filters are too large to send: lines meet the counts in a salted join."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, at in B.doc_blocks(batches, 2 << 20):
-            found = [(*digest(b"doc" + t), i, *digest(k)) for t in _texts(data, at) for i, k in enumerate(keys(t)) if k]
-            a = np.array(found, np.uint64).reshape(-1, 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(5)], ["t1", "t2", "i", "hi", "lo"])
-
-    long = ", ".join(f"{x} long" for x in ("t1", "t2", "i", "hi", "lo"))
-    found = docs.select("text").mapInArrow(lines, long).distinct().withColumn("salt", F.pmod("t1", F.lit(SALTS)))
-    often = state.refs.where(F.col("n") >= state.min_docs).select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-    drop = found.join(often, ["hi", "lo", "salt"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("i").alias("__drop"))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in B.doc_blocks(batches, 2 << 20):
-            a = np.array([digest(b"doc" + t) for t in _texts(data, at)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(a[:, 0]), pa.array(a[:, 1])], [*rows.schema.names, "__t1", "__t2"])
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in B.doc_blocks(batches, 2 << 20):
-            texts = [t.split(b"\n") for t in _texts(data, at)]
-            gone = [set(x or ()) for x in rows.column("__drop").to_pylist()]
-            kept = [[x for i, x in enumerate(t) if i not in g] for t, g in zip(texts, gone, strict=True)]
-            yield _row_batch(rows.drop_columns(["__drop"]), kept, [len(t) for t in texts])
-
-    with_name = T.StructType([*docs.schema.fields, T.StructField("__t1", T.LongType()), T.StructField("__t2", T.LongType())])
-    joined = docs.mapInArrow(named, with_name).join(drop, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left").drop("t1", "t2", "__t1", "__t2")
-    return joined.mapInArrow(rewrite, _out_schema(docs))
+    return pa.RecordBatch.from_arrays([*columns, n, pa.array([a - len(x) for a, x in zip(n_lines, kept, strict=True)], pa.int64())], [*names, "n_lines", "n_dropped"])

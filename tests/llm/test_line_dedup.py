@@ -23,9 +23,39 @@ def test_as_brute_force(docs, rows):
     assert sum(r[3] for r in got) > 10
 
 
-def test_lines_meet_counts_in_a_join(docs, rows):
-    state = L.build(docs)
-    assert collected(L.dedup(docs, state, broadcast_bytes=0), "doc_id", "text", "n_lines", "n_dropped") == brute(rows, 10)
+def test_keys_go_to_the_filters(docs, rows, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 1)
+    monkeypatch.setattr(L, "SALT_BYTES", 1 << 12)
+    odd = docs.withColumn("t1", F.lit(1)).withColumn("t2", F.lit(2)).withColumn("__drop", F.lit(3)).withColumn("a b.c", F.lit("x"))
+    for least in (2, 10):
+        state = L.build(odd, min_docs=least)
+        got = L.dedup(odd, state, broadcast_bytes=0)
+        assert got.columns == [*odd.columns, "n_lines", "n_dropped"]
+        assert collected(got, "doc_id", "text", "n_lines", "n_dropped") == brute(rows, least)
+        assert got.where("t1 = 1 AND t2 = 2 AND __drop = 3 AND `a b.c` = 'x'").count() == len(rows)
+
+
+def test_state_is_kept(spark, docs, rows, tmp_path):
+    some, rest = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0 OR doc_id IS NULL")
+    L.save(L.build(some, min_docs=4), f"{tmp_path}/state")
+    back = L.insert(L.load(spark, f"{tmp_path}/state"), rest)
+    assert collected(L.dedup(docs, back), "doc_id", "text", "n_lines", "n_dropped") == brute(rows, 4)
+
+
+def test_deleting_what_never_came(docs):
+    some, rest = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0 OR doc_id IS NULL")
+    state = L.build(some, min_docs=4)
+    less = L.delete(state, rest)
+    assert less.refs.where("n < 0").count() > 0
+    assert collected(L.insert(less, rest).refs, "hi", "lo", "n") == collected(state.refs, "hi", "lo", "n")
+
+
+def test_sets_of_keys():
+    rng = np.random.default_rng(1)
+    hi, lo = rng.integers(0, 9, (2, 60)).astype(np.uint64)
+    held = set(zip(hi[:30].tolist(), lo[:30].tolist(), strict=True))
+    assert L.Keys(hi[:30], lo[:30]).holds(hi, lo).tolist() == [x in held for x in zip(hi.tolist(), lo.tolist(), strict=True)]
+    assert not L.Keys(hi[:0], lo[:0]).holds(hi, lo).any()
 
 
 def test_many_shards(docs, rows, monkeypatch):
@@ -57,6 +87,7 @@ def test_columns_stay_and_clashing_ones_are_replaced(docs):
 
 def test_empty_table(none):
     assert L.dedup(none, L.build(none)).count() == 0
+    assert L.dedup(none, L.build(none), -1).count() == 0
 
 
 def test_cuckoo_filter():
