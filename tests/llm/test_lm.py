@@ -17,6 +17,44 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
 
 
+def brute_order(rows, order, m):
+    """A dictionary of states: each has its arcs and a failure arc; one token after another."""
+    counts, begins = Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            x = ["begin", *tokens(t)]
+            counts.update(tuple(x[a : a + k]) for k in range(1, order + 1) for a in range(len(x) - k + 1) if k > 1 or a)
+            begins += 1
+    one = {g[0]: c for g, c in counts.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+    seen = lambda h: begins if h == ("begin",) else counts[h]
+
+    def p(h, w):
+        return (counts[(*h, w)] + m * p(h[1:], w)) / (seen(h) + m) if h else (one.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+
+    out = []
+    for i, t in rows:
+        state, total = ("begin",), 0.0
+        for w in tokens(t):
+            while state and not counts[(*state, w)]:
+                total += math.log10(m / (seen(state) + m))
+                state = state[1:]
+            total += math.log10(p(state, w))
+            state = (*state, w)[-(order - 1) :]
+            while state and not seen(state):
+                state = state[1:]
+        out.append((i, total))
+    return sorted(out, key=repr)
+
+
+def test_longer_histories(docs, rows):
+    for order, prior, chunk in ((3, 0.5, 1 << 12), (4, 2.0, 1 << 23), (2, 8.0, 1 << 23)):
+        got = sorted(((r["doc_id"], r["score"]) for r in M.scores(docs, fold_of() != 1, prior, chunk, order).collect()), key=repr)
+        want = brute_order(rows, order, prior)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9)
+
+
 def brute(rows):
     one, two, begins = Counter(), Counter(), 0
     for i, t in rows:
