@@ -30,12 +30,13 @@ STEP = r"-?\d[\d,]*(?:\.\d+)?\s*[-+*/×÷]\s*-?\d[\d,]*(?:\.\d+)?"
 # How far back a closing phrase counts, and how far ahead of it a number.
 TAIL_CHARS, AFTER_CHARS = 400, 120
 TOLERANCE, RELATIVE, LARGEST = 1e-9, 1e-12, 1e17
-# --------------------------------------------------------------------------------------------------------------------
-
+# Forms of a number.
 _WHOLE = r"^-?\d+\z"
 _DECIMAL = r"^-?\d*\.?\d+(?:[eE][-+]?\d+)?\z"
 _SCIENTIFIC = r"^(-?\d+(?:\.\d+)?)\s*\*\s*10\^\{?(-?\d+)\}?\z"
 _FRACTIONS = [r"^\\[dt]?frac\s*\{(-?\d+)\}\s*\{(-?\d+)\}\z", r"^\\[dt]?frac(-?\d)(-?\d)\z", r"^(-?\d+)\s*/\s*(-?\d+)\z"]
+# --------------------------------------------------------------------------------------------------------------------
+
 _CLOSING = "(?is)^.*(?:" + "|".join(CLOSERS) + ")"
 
 

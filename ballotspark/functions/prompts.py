@@ -1,9 +1,18 @@
-"""Message columns for generation and scoring; the templates are parameters of the caller."""
+"""Message columns for generation and scoring. Three templates for generation are given; others are the caller's."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The system message, and the templates by name; {q} is the problem.
+SYSTEM = "You are a careful mathematician. You always finish with a final integer answer."
+TEMPLATES = {
+    "A": "{q}",
+    "B": "Solve the following math problem step by step. Put your final answer in \\boxed{}.\n\n{q}",
+    "C": "Solve the following math problem step by step. The answer is a single integer. Put your final answer in \\boxed{}.\n\n{q}",
+}
+
+
 def filled(template: str, **columns: Column) -> Column:
     """A template with {name} replaced by columns; null counts as empty."""
     out = F.lit(template)
@@ -26,3 +35,8 @@ def shown_answer(key: Column, most: int = 20) -> Column:
 def within_budget(tokens: Column, budget: int, score: Column, floor: float = -20.0) -> Column:
     """The score, or the floor for prompts that are too long to be scored."""
     return F.when(tokens <= budget, score).otherwise(F.lit(floor))
+
+
+def generation_messages(question: Column, template: str = "C", system: bool = True) -> Column:
+    """Messages that ask for a solution, by one of TEMPLATES."""
+    return messages(filled(TEMPLATES[template], q=question), F.lit(SYSTEM) if system else None)

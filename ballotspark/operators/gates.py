@@ -30,6 +30,32 @@ def submission_check(sub: DataFrame, ref: DataFrame, zero_share: float = 0.03) -
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def submission_report(sub: DataFrame, ref: DataFrame, envelope: DataFrame | None = None, examples: int = 3, zero_share: float = 0.03) -> DataFrame:
+    """(check, severity, n, examples): `submission_check`, and the columns, the first ids that are missing or too many,
+    the first values that are no integer, the range of answers, and with an envelope of training answers whether there
+    are far fewer different ones. sub may have any columns; n and examples are null where a check has none."""
+    wanted = list(sub.columns) == ["id", "answer"]
+    spark = sub.sparkSession
+    columns = spark.createDataFrame([("columns", "ok" if wanted else "error", 0 if wanted else 1, "" if wanted else ",".join(sub.columns))], "check string, severity string, n long, examples string")
+    names = {c.lower(): c for c in reversed(sub.columns)}
+    if "id" not in names or "answer" not in names:
+        return columns
+    rows = sub.select(F.col(f"`{names['id']}`").alias("id"), F.col(f"`{names['answer']}`").cast("string").alias("answer"))
+    first = lambda df, c: df.orderBy(c).limit(examples).agg(F.array_join(F.sort_array(F.collect_list(F.col(c).cast("string"))), ",").alias("examples"))
+    bad = rows.where(F.col("answer").isNotNull() & ~submission_integer(F.col("answer"))).select("answer").distinct()
+    sides = id_differences(rows, ref)
+    shown = [("missing_id", first(sides.where("side = 'missing'"), "id")), ("extra_id", first(sides.where("side = 'extra'"), "id")), ("not_integer", first(bad, "answer"))]
+    named = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), "examples") for name, df in shown])
+    out = submission_check(rows, ref, zero_share).join(F.broadcast(named), "check", "left")
+    whole = F.when(submission_integer(F.col("answer")), F.col("answer").try_cast("double").cast("decimal(38,0)"))
+    low, high = rows.agg(F.min(whole).alias("low"), F.max(whole).alias("high")), F.concat_ws("..", F.col("low").cast("string"), F.col("high").cast("string"))
+    out = columns.unionByName(out).unionByName(low.select(F.lit("range").alias("check"), F.lit("info").alias("severity"), F.lit(None).cast("long").alias("n"), high.alias("examples")))
+    if envelope is not None:
+        few = collapsed(rows, envelope)
+        out = out.unionByName(few.select(F.lit("collapsed").alias("check"), F.when(F.col("collapsed"), "error").otherwise("ok").alias("severity"), F.col("kinds").alias("n"), F.concat_ws("..", F.col("least").cast("string"), F.col("most").cast("string")).alias("examples")))
+    return out
+
+
 def id_differences(sub: DataFrame, ref: DataFrame) -> DataFrame:
     """(side, id): ids that only the reference has (missing), or only the submission (extra)."""
     a, b = sub.select("id").distinct(), ref.select("id").distinct()
@@ -37,12 +63,20 @@ def id_differences(sub: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def distinct_envelope(train: DataFrame, n: int, draws: int = 50, seed: str = "0") -> DataFrame:
-    """(least, most) distinct answers among n training answers, over `draws` draws without replacement."""
-    each = train.select("id", "answer").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    """(least, most) distinct answers among n training answers, over `draws` draws without replacement.
+
+    A draw is the n rows of smallest hash. Hashes are even, so n of N rows are below n / N of their range; rows beyond
+    that and ten standard deviations can't be among them and are left out before anything moves.
+    """
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("draw").orderBy(drawn(seed, F.col("draw"), F.col("id")), "id"))
-    return each.withColumn("__rn", rank).where(F.col("__rn") <= n).groupBy("draw").agg(F.count_distinct("answer").alias("kinds")).agg(F.min("kinds").alias("least"), F.max("kinds").alias("most"))
+    total = max(train.count(), 1)
+    share = min(1.0, (n + 10 * n**0.5 + 50) / total)
+    key = drawn(seed, F.col("draw"), F.col("id"))
+    each = train.select("id", "answer").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__k", key)
+    near = each if share == 1 else each.where(F.col("__k") <= f"{int(share * 16**12):012x}" + "f" * 20)
+    rank = F.row_number().over(Window.partitionBy("draw").orderBy("__k", "id"))
+    return near.withColumn("__rn", rank).where(F.col("__rn") <= n).groupBy("draw").agg(F.count_distinct("answer").alias("kinds")).agg(F.min("kinds").alias("least"), F.max("kinds").alias("most"))
 
 
 def collapsed(sub: DataFrame, envelope: DataFrame, share: float = 0.7) -> DataFrame:

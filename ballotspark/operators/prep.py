@@ -83,8 +83,10 @@ def funnel_counts(df: DataFrame) -> DataFrame:
 
 
 def fingerprint_ascii(text: Column, size: int = 200) -> Column:
-    """Lower-cased ASCII letters and digits, the first 200. For texts that NFKC leaves alone."""
-    return F.left(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), F.lit(size))
+    """Lower-cased ASCII letters and digits, the first 200. For texts that NFKC leaves alone. The pattern takes the 200
+    with what stands between them and no more of the text is looked at."""
+    head = F.regexp_extract(F.lower(text), "(?s)^(?:[^a-z0-9]*+[a-z0-9]){0,%d}" % size, 0)
+    return F.regexp_replace(head, "[^a-z0-9]++", "")
 
 
 def fingerprint(df: DataFrame, text: str, out: str = "fp", size: int = 200) -> DataFrame:

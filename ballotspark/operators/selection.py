@@ -3,8 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotspark.functions.answers import early_answer, has_latex, path_hash
-from ballotspark.operators.metrics import drawn
+from ballotspark.functions.answers import early_answer, has_latex
+from ballotspark.operators.metrics import drawn, drawn_number
+from ballotspark.operators.voting import one_per_path, with_upper_median
+from ballotspark.sources.readers import numbered
 
 MIN_CHARS = 100
 
@@ -28,11 +30,8 @@ def solved_bucket(n_solved: Column) -> Column:
 def near_median(rows: DataFrame, keep: Column, keys: list[str]) -> DataFrame:
     """Of each group the `keep` texts nearest to the (upper) median length, after texts with the same steps have been
     reduced to the first by j. Ties go to the first."""
-    path = path_hash(F.col("text"))
-    first = Window.partitionBy(*keys, "__path").orderBy("j")
-    once = rows.withColumn("__path", path).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__path", "__rn")
-    sizes = F.array_sort(F.collect_list(F.length("text")).over(Window.partitionBy(*keys)))
-    sized = once.withColumn("__med", F.element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1)).withColumn("__keep", keep)
+    once = one_per_path(rows.withColumn("__keep", keep), tuple(keys))
+    sized = with_upper_median(once, F.length("text"), "__med", keys)
     order = Window.partitionBy(*keys).orderBy(F.abs(F.length("text") - F.col("__med")), "j")
     return sized.withColumn("__rn", F.row_number().over(order)).where("__rn <= __keep").drop("__rn", "__med", "__keep")
 
@@ -40,8 +39,8 @@ def near_median(rows: DataFrame, keep: Column, keys: list[str]) -> DataFrame:
 def rejection_sample(pool: DataFrame, gold: DataFrame, k: int, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, j, text, gold): correct samples for training. Short texts and those that have a long answer early on go;
     how many a problem gives follows from its rate of correct samples, which counts all of them."""
-    n = F.sum("hit").over(Window.partitionBy("id"))
-    rows = pool.join(gold, "id").withColumn("hit", F.coalesce(F.col("ans") == F.col("gold"), F.lit(False)).cast("int")).withColumn("n_solved", n)
+    rows = pool.join(gold, "id").withColumn("hit", F.coalesce(F.col("ans") == F.col("gold"), F.lit(False)).cast("int"))
+    rows = rows.join(rows.groupBy("id").agg(F.sum("hit").alias("n_solved")), "id")
     good = rows.where((F.col("hit") == 1) & (F.length("text") >= min_chars) & ~early_answer(F.col("text"), F.col("gold").cast("string")))
     return near_median(good, quota(F.col("n_solved"), k), ["id"]).select("id", "j", "text", "gold")
 
@@ -90,8 +89,10 @@ def per_bucket(rows: DataFrame, bucket: str, limit: int, seed: str = "42") -> Da
 
 
 def shard(rows: DataFrame, i: int, n: int, seed: str = "42") -> DataFrame:
-    """Part i of n, by a hash of the id, so that each row can be judged by itself."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)) == i)
+    """Part i of n: every n-th row of the reproducible random order, so parts differ by one row at most. Rows are
+    numbered by partition, no task sees all."""
+    order = numbered(rows.withColumn("__k", drawn(seed, F.col("id"))), "__at", ["__k", "id"])
+    return order.where(F.col("__at") % n == i).drop("__k", "__at")
 
 
 def draw(rows: DataFrame, n: int, seed: str = "42") -> DataFrame:
@@ -103,7 +104,7 @@ def thinned(rows: DataFrame, keep: float, seed: str = "42") -> DataFrame:
     """rows (id, .., n_solved) where easy problems stay with probability `keep`. Easy is a rate of a half or more,
     against the largest count seen."""
     most = rows.agg(F.max("n_solved").alias("__most"))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    uniform = drawn_number(F.lit(1 << 30), seed, F.col("id")) / float(1 << 30)
     easy = F.coalesce(F.col("n_solved") / F.col("__most") >= 0.5, F.lit(False))
     return rows.crossJoin(F.broadcast(most)).where(~easy | (uniform < keep)).drop("__most")
 
@@ -125,3 +126,49 @@ def stratified_split(docs: DataFrame, n_val: int, seed: str = "42") -> DataFrame
     near = ranked.withColumn("chosen", F.col("r") <= F.col("k")).withColumn("h", order)
     val = near.orderBy(F.desc("chosen"), "h", "id").limit(n_val).select(F.col("id").alias("__val"))
     return rows.join(val, F.col("id").eqNullSafe(F.col("__val")), "left").select("id", "stratum", F.when(F.col("__val").isNotNull(), "val").otherwise("train").alias("part"))
+
+
+def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in a list."""
+    return rows.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def with_question(rows: DataFrame, problems: DataFrame) -> DataFrame:
+    """rows with their problem's question, '' where there is none."""
+    known = problems.select("id", F.col("question").alias("__q")).groupBy("id").agg(F.max("__q").alias("__q"))
+    return rows.join(known, "id", "left").withColumn("question", F.coalesce("__q", F.lit(""))).drop("__q")
+
+
+def with_adopted(rows: DataFrame, adopted: DataFrame) -> DataFrame:
+    """Training rows and those adopted from quarantine, in columns by name; a column that one side lacks is null."""
+    return rows.unionByName(adopted, allowMissingColumns=True)
+
+
+def repeated_correct(pool: DataFrame, gold: DataFrame, least: int = 2) -> DataFrame:
+    """Correct samples of the ids that have `least` of them or more."""
+    good = pool.join(gold, "id").where("ans = gold")
+    return good.join(good.groupBy("id").count().where(F.col("count") >= least).select("id"), "id", "left_semi")
+
+
+def parsed_plan(text: str, buckets: tuple[str, ...] = ("unsolved", "hard", "medium", "easy")) -> dict[str, int]:
+    """'hard:8,easy:2' as {'hard': 8, 'easy': 2}; a bucket that isn't known is an error."""
+    out = {}
+    for part in filter(None, map(str.strip, text.split(","))):
+        name, _, count = part.partition(":")
+        if name.strip() not in buckets:
+            raise ValueError(f"unknown bucket {name.strip()!r}")
+        out[name.strip()] = int(count)
+    return out
+
+
+def parsed_shard(text: str) -> tuple[int, int]:
+    """'1/4' as (1, 4)."""
+    i, n = (int(x) for x in text.split("/"))
+    if not 0 <= i < n:
+        raise ValueError(f"no part {i} of {n}")
+    return i, n
+
+
+def parsed_list(text: str) -> list[str]:
+    """Comma-separated names, without blanks and empty ones."""
+    return [x.strip() for x in text.split(",") if x.strip()]

@@ -37,29 +37,41 @@ def vote(rows: DataFrame, weight: Column | None = None, tie: str = "answer_asc")
     return winners(rows.groupBy("id", "ans").agg(weight.cast("double").alias("weight"), F.min("j").alias("first_j")), tie)
 
 
+def with_zscores(pool: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pool with columns {name: new name} standardised within the id, over all its samples; 0 for null, and where fewer
+    than two have a value. The moments are partial sums joined back, so that a large id can be split between tasks."""
+    moments = [(f(c).alias(f"__{k}_{n}")) for n, c in enumerate(columns) for k, f in (("mu", F.avg), ("sd", F.stddev_samp), ("m", F.count))]
+    out = pool.join(pool.groupBy("id").agg(*moments), "id")
+    for n, (c, name) in enumerate(columns.items()):
+        z = (F.col(c) - F.col(f"__mu_{n}")) / F.when(F.col(f"__sd_{n}") > 0, F.col(f"__sd_{n}")).otherwise(1.0)
+        out = out.withColumn(name, F.when(F.col(f"__m_{n}") < 2, 0.0).otherwise(F.coalesce(z, F.lit(0.0))))
+    return out.drop(*(f"__{k}_{n}" for n in range(len(columns)) for k in ("mu", "sd", "m")))
+
+
 def with_zscore(pool: DataFrame, column: str, out: str = "z") -> DataFrame:
-    """pool with a column standardised within the id, over all its samples; 0 for null, and where fewer than two have a
-    value. The moments are partial sums joined back, so that a large id can be split between tasks."""
-    moments = pool.groupBy("id").agg(F.avg(column).alias("__mu"), F.stddev_samp(column).alias("__sd"), F.count(column).alias("__m"))
-    z = (F.col(column) - F.col("__mu")) / F.when(F.col("__sd") > 0, F.col("__sd")).otherwise(1.0)
-    return pool.join(moments, "id").withColumn(out, F.when(F.col("__m") < 2, 0.0).otherwise(F.coalesce(z, F.lit(0.0)))).drop("__mu", "__sd", "__m")
+    return with_zscores(pool, {column: out})
 
 
-def upper_median(value: Column) -> Column:
-    """The element at n // 2 of the id's sorted values."""
-    values = F.array_sort(F.collect_list(value).over(by_id()))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def with_upper_median(rows: DataFrame, value: Column, out: str, keys: list[str]) -> DataFrame:
+    """rows with the element at n // 2 of the group's sorted values. Rows are counted by value before they move, so a
+    window sees as many rows as a group has different values."""
+    counts = rows.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v"))
+    whole = F.sum("__c").over(Window.partitionBy(*keys))
+    run = counts.withColumn("__upto", upto).withColumn("__n", whole).where(F.col("__upto") > F.floor(F.col("__n") / 2))
+    return rows.join(run.groupBy(*keys).agg(F.min("__v").alias(out)), keys)
 
 
 def without_truncated(pool: DataFrame) -> DataFrame:
     """Whole samples only; all of them where every sample of the id is cut."""
-    return pool.withColumn("__all", F.bool_and(F.coalesce("trunc", F.lit(False))).over(by_id())).where("__all OR NOT coalesce(trunc, false)").drop("__all")
+    whole = pool.groupBy("id").agg(F.bool_and(F.coalesce("trunc", F.lit(False))).alias("__all"))
+    return pool.join(whole, "id").where("__all OR NOT coalesce(trunc, false)").drop("__all")
 
 
-def one_per_path(pool: DataFrame) -> DataFrame:
-    """The first sample of each chain of arithmetic steps."""
-    path = pool.withColumn("__path", path_hash(F.col("text")))
-    return path.withColumn("__rn", F.row_number().over(Window.partitionBy("id", "__path").orderBy("j"))).where("__rn = 1").drop("__path", "__rn")
+def one_per_path(pool: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The first sample of each chain of arithmetic steps, by partial aggregation."""
+    first = pool.groupBy(*keys, path_hash(F.col("text")).alias("__path")).agg(F.min_by(F.struct(*pool.columns), "j").alias("__s"))
+    return first.select("__s.*")
 
 
 def majority(pool: DataFrame, tie: str = "answer_asc") -> DataFrame:
@@ -77,7 +89,7 @@ def path_unique(pool: DataFrame, tie: str = "answer_asc") -> DataFrame:
 def median_length(pool: DataFrame, tie: str = "answer_asc") -> DataFrame:
     """Samples count more the nearer their length is to the id's (upper) median."""
     size = F.length("text")
-    sized = pool.withColumn("__med", F.greatest(upper_median(size), F.lit(1)))
+    sized = with_upper_median(pool, size, "__med", ["id"]).withColumn("__med", F.greatest("__med", F.lit(1)))
     return vote(sized, F.sum(1 / (1 + F.abs(size - F.col("__med")) / F.col("__med"))), tie)
 
 

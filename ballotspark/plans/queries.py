@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotspark.functions import answers as A
+from ballotspark.functions import prompts
 from ballotspark.operators import audit, gates, metrics, prep, selection, voting
 from ballotspark.plans import sql as S
 from ballotspark.sources import adapters as P
@@ -64,9 +65,12 @@ query("pass_any", f"WITH {S.LI} SELECT count(*) AS n, round(avg(CASE WHEN n_corr
 query("pass_at_m", f"""WITH {S.EV}, s AS ({S.SOLVED}), p AS ({S.POWERS})
 SELECT m, round(avg(CASE WHEN k - n_correct < m THEN 1.0 ELSE 1 - exp({S.CHOOSE.format('(k - n_correct)', 'm')} - {S.CHOOSE.format('k', 'm')}) END), 6) AS pass_m FROM s, p GROUP BY m""")(lambda spark, sf: metrics.pass_at_m(*ev(spark, sf)))
 
-MAJ_AT_M = f"""drawn AS (
-  SELECT *, row_number() OVER (PARTITION BY id, m, trial ORDER BY {S.drawn("'42'", 'id', 'trial', 'j')}, j) AS rn FROM pool, ({S.POWERS}), (SELECT unnest(range(1, 6)) AS trial)
-), few AS (SELECT * FROM drawn WHERE rn <= m), picked AS ({S.winner('SELECT id, m, trial, ans, count(*) AS weight FROM few GROUP BY ALL', keys='id, m, trial', ids='few')}),
+MAJ_AT_M = f"""sizes AS (SELECT id, count(*) AS k FROM pool GROUP BY id), trials AS (SELECT unnest(range(1, 6)) AS trial), powers AS ({S.POWERS}),
+drawn AS (SELECT pool.id, ans, m, trial, k, row_number() OVER (PARTITION BY pool.id, m, trial ORDER BY {S.drawn("'42'", 'pool.id', 'trial', 'j')}, j) AS rn FROM pool JOIN sizes USING (id), powers, trials),
+placed AS (SELECT id, ans, row_number() OVER (PARTITION BY id ORDER BY j) - 1 AS place FROM pool),
+again AS (SELECT id, m, trial, {S.drawn_number('k', "'42'", 'id', 'trial', "'again'", 'r')} AS place FROM (SELECT id, k, m, trial, unnest(range(1, m + 1)) AS r FROM sizes, powers, trials WHERE k < m)),
+few AS (SELECT id, m, trial, ans FROM drawn WHERE rn <= m AND k >= m UNION ALL SELECT id, m, trial, ans FROM again JOIN placed USING (id, place)),
+picked AS ({S.winner('SELECT id, m, trial, ans, count(*) AS weight FROM few GROUP BY ALL', keys='id, m, trial', ids='few')}),
 maj AS (SELECT m, round(avg(CASE WHEN answer = gold THEN 1.0 ELSE 0.0 END), 6) AS maj_m FROM picked JOIN gold USING (id) GROUP BY m)"""
 query("maj_at_m", f"WITH {S.EV}, {MAJ_AT_M} SELECT m, maj_m FROM maj")(lambda spark, sf: metrics.maj_at_m(*ev(spark, sf), trials=5))
 
@@ -99,29 +103,38 @@ SELECT b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(
 query("arm_union_intersect", f"""WITH {S.LI}, arms AS ({S.arms(ARMS)}), e AS (SELECT id, max(CAST(ok AS INT)) AS one, min(CAST(ok AS INT)) AS every FROM arms GROUP BY id)
 SELECT round(avg(one), 4) AS union_acc, round(avg(every), 4) AS intersect_acc FROM e""")(lambda spark, sf: metrics.union_intersection(metrics.arms_of(*li(spark, sf), rules=ARMS)))
 
-query("rule_league", f"""WITH {S.EV}, arms AS ({S.arms(list(S.RULES))}), a AS (SELECT arm, avg(CAST(ok AS INT)) AS acc FROM arms GROUP BY arm), b AS (SELECT acc AS base FROM a WHERE arm = 'majority'),
+query("rule_league", f"""WITH {S.EV_WHOLE.replace('gold AS', 'truth AS')}, {S.few(16, 5, 'whole')}, pool AS (SELECT id * 100 + trial AS id, j, ans, score, trunc, logp, text FROM few), gold AS (SELECT DISTINCT id, (id // 100) % 5 AS gold FROM pool),
+arms AS ({S.arms(list(S.RULES))}), a AS (SELECT arm, avg(CAST(ok AS INT)) AS acc FROM arms GROUP BY arm), b AS (SELECT acc AS base FROM a WHERE arm = 'majority'),
 t AS (SELECT avg(CASE WHEN n_correct > 0 THEN 1.0 ELSE 0.0 END) AS top FROM ({S.SOLVED}))
-SELECT arm, round(acc, 4) AS acc, round(acc - base, 4) AS gain, round((acc - base) / nullif(top - base, 0), 4) AS recovered FROM a, b, t""")(lambda spark, sf: metrics.league(*ev(spark, sf)))
+SELECT arm, round(acc, 4) AS acc, round(acc - base, 4) AS gain, CASE WHEN top > base THEN round((acc - base) / (top - base), 4) ELSE 0.0 END AS recovered FROM a, b, t""")(lambda spark, sf: metrics.league(*ev(spark, sf), m=16, trials=5))
 
 SWEEP = {"orm_mean": ("score", "mean"), "orm_max": ("score", "max"), "logp_mean": ("logp", "mean")}
-
-
-def _sweep_sql() -> str:
-    parts = []
-    for tag, (column, how) in SWEEP.items():
-        for g in metrics.GAMMAS:
-            parts.append(f"SELECT '{tag}' AS tag, CAST({g} AS DOUBLE) AS gamma, round(avg(CASE WHEN answer = gold THEN 1.0 ELSE 0.0 END), 4) AS acc FROM ({S.fused(g, how, score=column)}) JOIN gold USING (id)")
-    return " UNION ALL ".join(parts)
-
-
-query("gamma_sweep", f"WITH {S.EV} {_sweep_sql()}")(lambda spark, sf: metrics.gamma_sweep(*ev(spark, sf), SWEEP))
-query("gamma_best", f"WITH {S.EV}, s AS ({_sweep_sql()}) SELECT * FROM s ORDER BY acc DESC, gamma, CASE tag WHEN 'orm_mean' THEN 0 WHEN 'orm_max' THEN 1 ELSE 2 END LIMIT 1")(lambda spark, sf: metrics.best_of_sweep(metrics.gamma_sweep(*ev(spark, sf), SWEEP), list(SWEEP)))
-
-query("rescue_break", f"""WITH {S.LI}, a AS ({S.RULES['majority']}), b AS ({S.fused(2.0, 'mean')}), r AS (SELECT coalesce(a.answer = gold, false) AS r0, coalesce(b.answer = gold, false) AS r1 FROM a JOIN b USING (id) JOIN gold USING (id))
+_SWEEP_SQL = " UNION ALL ".join(
+    f"SELECT '{tag}' AS tag, CAST({g} AS DOUBLE) AS gamma, round(avg(CASE WHEN answer = gold THEN 1.0 ELSE 0.0 END), 4) AS acc FROM ({S.sampled_pick(g, column, how)}) JOIN gold USING (id)"
+    for tag, (column, how) in SWEEP.items() for g in metrics.GAMMAS
+)
+query("gamma_sweep", f"WITH {S.sampled(S.EV_WHOLE, 16, 5)} {_SWEEP_SQL}")(lambda spark, sf: metrics.gamma_sweep(*ev(spark, sf), SWEEP, 16, 5))
+query("gamma_best", f"WITH {S.sampled(S.EV_WHOLE, 16, 5)}, s AS ({_SWEEP_SQL}) SELECT * FROM s ORDER BY acc DESC, gamma, CASE tag WHEN 'orm_mean' THEN 0 WHEN 'orm_max' THEN 1 ELSE 2 END LIMIT 1")(
+    lambda spark, sf: metrics.best_of_sweep(metrics.gamma_sweep(*ev(spark, sf), SWEEP, 16, 5), list(SWEEP))
+)
+
+query("rescue_break", f"""WITH {S.sampled(S.LI_WHOLE, 4, 5)}, a AS ({S.sampled_pick(0.0, 'score', 'mean')}), b AS ({S.sampled_pick(2.0, 'score', 'mean')}),
+r AS (SELECT coalesce(a.answer = gold, false) AS r0, coalesce(b.answer = gold, false) AS r1 FROM a JOIN b USING (id, trial) JOIN gold USING (id)),
+c AS (SELECT count(*) AS cells, count(*) FILTER (NOT r0) AS w, count(*) FILTER (r0) AS g, count(*) FILTER (NOT r0 AND r1) AS s, count(*) FILTER (r0 AND NOT r1) AS x FROM r)
+SELECT round(w / 5, 4) AS wrong, round(g / 5, 4) AS "right", round(s / 5, 4) AS rescued, round(x / 5, 4) AS broken, round((s - x) / cells, 4) AS net FROM c""")(lambda spark, sf: metrics.sampled_rescue_break(*li(spark, sf), 2.0, m=4, trials=5))
+query("rescue_break_whole", f"""WITH {S.LI}, a AS ({S.RULES['majority']}), b AS ({S.fused(2.0, 'mean')}), r AS (SELECT coalesce(a.answer = gold, false) AS r0, coalesce(b.answer = gold, false) AS r1 FROM a JOIN b USING (id) JOIN gold USING (id))
 SELECT count(*) FILTER (NOT r0) AS wrong, count(*) FILTER (r0) AS "right", count(*) FILTER (NOT r0 AND r1) AS rescued, count(*) FILTER (r0 AND NOT r1) AS broken, count(*) FILTER (NOT r0 AND r1) - count(*) FILTER (r0 AND NOT r1) AS net FROM r""")(
     lambda spark, sf: metrics.rescue_break(voting.majority(li(spark, sf)[0]), voting.fused(li(spark, sf)[0], 2.0, "mean"), li(spark, sf)[1])
 )
-query("fusion_sim")(lambda spark, sf: metrics.fusion_simulation(*ev(spark, sf), aucs=[0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0], gammas=[0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 1e9]))
+AUCS, SIM_GAMMAS = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0], [0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 1e9]
+query("fusion_sim", f"""WITH {S.EV}, {S.few(32, 5)}, u AS (SELECT few.*, gold, ({S.drawn_number('1125899906842624', "'42'", "'noise'", 'few.id', 'trial', 'j')} + 0.5::DOUBLE) / 1125899906842624 AS u FROM few JOIN gold USING (id)),
+noisy AS (SELECT *, {S.normal_quantile('u')} AS noise FROM u), by_ AS (SELECT id, trial, gold, ans, count(*) AS n, avg(noise) AS noise FROM noisy WHERE ans IS NOT NULL GROUP BY ALL),
+grid AS (SELECT auc, sqrt(2.0::DOUBLE) * {S.normal_quantile('(greatest(least(auc, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE))')} AS mu FROM (SELECT unnest({AUCS})::DOUBLE AS auc)), gammas AS (SELECT unnest({SIM_GAMMAS})::DOUBLE AS gamma),
+votes AS (SELECT id, trial, gold, auc, gamma, ans, CASE WHEN gamma >= 1e8 THEN noise + CASE WHEN ans = gold THEN mu ELSE 0 END ELSE ln(n) + gamma * (noise + CASE WHEN ans = gold THEN mu ELSE 0 END) END AS weight FROM by_, grid, gammas),
+best AS (SELECT *, row_number() OVER (PARTITION BY id, trial, auc, gamma ORDER BY round(weight, 9) DESC, ans) AS r FROM votes)
+SELECT auc, gamma, round(count(*) FILTER (ans = gold) / (SELECT count(*) FROM (SELECT DISTINCT id, trial FROM noisy)), 4) AS acc FROM best WHERE r = 1 GROUP BY auc, gamma""")(
+    lambda spark, sf: metrics.fusion_simulation(*ev(spark, sf), aucs=AUCS, gammas=SIM_GAMMAS)
+)
 query("vote_margin", f"""WITH {S.EV}, v AS (SELECT id, ans, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC) AS r FROM pool WHERE ans IS NOT NULL GROUP BY id, ans)
 SELECT id, max(n) FILTER (r = 1) - coalesce(max(n) FILTER (r = 2), 0) AS margin FROM v GROUP BY id""")(lambda spark, sf: metrics.vote_margin(ev(spark, sf)[0]))
 query("subsample_votes", f"""WITH {S.EV}, s AS (SELECT *, row_number() OVER (PARTITION BY id, trial ORDER BY {S.drawn("'42'", 'id', 'trial', 'j')}, j) AS rn FROM pool, (SELECT unnest(range(1, 4)) AS trial)),
@@ -157,8 +170,9 @@ SELECT c.id, j, text, label, answer IS DISTINCT FROM gold AND answer IS NOT NULL
 )
 query("bucket_limit", f"""WITH {DOCS}, r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY {S.drawn("'42'", 'id')}, id) AS rn FROM docs) SELECT id, source FROM r WHERE rn <= 5""")(lambda spark, sf: selection.per_bucket(docs(spark, sf).select("id", "source"), "source", 5))
 query("seeded_draw", f"WITH {DOCS} SELECT id, source FROM docs ORDER BY {S.drawn(chr(39) + '42' + chr(39), 'id')}, id LIMIT 50")(lambda spark, sf: selection.draw(docs(spark, sf).select("id", "source"), 50))
-query("shard")(lambda spark, sf: selection.shard(docs(spark, sf).select("id", "source"), 1, 4))
-query("easy_downsample")(lambda spark, sf: selection.thinned(metrics.solved(*li(spark, sf)).withColumnRenamed("n_correct", "n_solved"), 0.3))
+query("shard", f"WITH {DOCS} SELECT id, source FROM (SELECT id, source, row_number() OVER (ORDER BY {S.drawn(chr(39) + '42' + chr(39), 'id')}, id) - 1 AS place FROM docs) WHERE place % 4 = 1")(lambda spark, sf: selection.shard(docs(spark, sf).select("id", "source"), 1, 4))
+query("easy_downsample", f"""WITH {S.LI}, s AS ({S.SOLVED}), m AS (SELECT max(n_correct) AS most FROM s)
+SELECT id, k, n_correct AS n_solved FROM s, m WHERE NOT coalesce(n_correct / nullif(most, 0) >= 0.5, false) OR {S.drawn_number('1073741824', "'42'", 'id')} / 1073741824 < 0.3""")(lambda spark, sf: selection.thinned(metrics.solved(*li(spark, sf)).withColumnRenamed("n_correct", "n_solved"), 0.3))
 
 # ---- cleaning ----------------------------------------------------------------------------------------------------
 PATTERN_CASES = " ".join(f"WHEN regexp_matches(question, '{p}', 'i') THEN '{n}'" for n, p in prep.DROP_PATTERNS.items())
@@ -221,20 +235,55 @@ N = "CAST(o_custkey AS BIGINT)"
 query("extract_rendered", f"SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 6 THEN CASE WHEN {N} % 7 = 0 THEN CAST({N} // 7 AS VARCHAR) END WHEN 7 THEN CAST(-{N} AS VARCHAR) ELSE CAST({N} AS VARCHAR) END AS answer FROM orders")(
     lambda spark, sf: P.rendered(spark, sf).select("id", A.extract_answer(F.col("text")).alias("answer"))
 )
-query("last_number", r"""WITH t AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?'), lambda x: replace(x, ',', '')), lambda x: regexp_full_match(x, '-?\d+')) AS k,
- regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?') AS a FROM documents)
-SELECT id, CASE WHEN regexp_full_match(replace(a[-1], ',', ''), '-?\d+') THEN CASE WHEN regexp_replace(k[-1], '^(-?)0+(\d)', '\1\2') = '-0' THEN '0' ELSE regexp_replace(k[-1], '^(-?)0+(\d)', '\1\2') END END AS answer FROM t""")(
-    lambda spark, sf: docs(spark, sf).select("id", A._let(A.number_tokens(F.col("question")), lambda t: A._let(F.replace(F.get(t, F.size(t) - 1), F.lit(","), F.lit("")), lambda x: F.when(x.rlike(r"^-?\d+\z"), A.last_number(F.col("question"))))).alias("answer"))
-)
+query("last_number", r"""WITH t AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?'), lambda x: replace(x, ',', '')) AS a FROM documents),
+k AS (SELECT id, list_filter(list_transform(a, lambda x: CASE WHEN regexp_full_match(x, '-?\d+') THEN CASE WHEN regexp_full_match(x, '-?0+') THEN '0' ELSE regexp_replace(x, '^(-?)0+(\d)', '\1\2') END
+  WHEN abs(TRY_CAST(x AS DOUBLE)) <= 1e17 AND abs(TRY_CAST(x AS DOUBLE) - round_even(TRY_CAST(x AS DOUBLE), 0)) < 1e-9 THEN CAST(CAST(round_even(TRY_CAST(x AS DOUBLE), 0) AS HUGEINT) AS VARCHAR) END), lambda x: x IS NOT NULL) AS k FROM t)
+SELECT id, k[-1] AS answer FROM k""")(lambda spark, sf: docs(spark, sf).select("id", A.last_number(F.col("question")).alias("answer")))
 query("path_hash", f"SELECT doc_id AS id, md5({S.PATH}) AS path FROM documents")(lambda spark, sf: docs(spark, sf).select("id", F.md5(A.path_hash(F.col("question"))).alias("path")))
 query("cause_histogram", f"""WITH o AS (SELECT o_orderkey % 8 AS k, {N} AS n, o_custkey % 2 = 0 AS cut FROM orders),
 c AS (SELECT CASE WHEN cut THEN 'truncated' WHEN k IN (4, 5) THEN 'no_box' WHEN k = 6 AND n % 7 <> 0 THEN 'box_unparsed' ELSE 'wrong_answer' END AS cause FROM o)
 SELECT cause, count(*) AS n FROM c GROUP BY cause""")(
     lambda spark, sf: P.rendered(spark, sf).join(P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2 == 0).alias("cut")), "id").groupBy(A.wrong_cause(F.col("text"), F.col("cut"), A.extract_answer(F.col("text"))).alias("cause")).agg(F.count("*").alias("n"))
 )
-query("solution_integer", f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 IN (2) THEN '1' WHEN o_orderkey % 8 IN (0) THEN CAST({N} AS VARCHAR) WHEN o_orderkey % 8 = 5 THEN CAST({N} AS VARCHAR) WHEN o_orderkey % 8 = 3 THEN CAST(regexp_extract(format('{{:,}}', {N}), '^(\\d+)$', 1) AS VARCHAR) END AS answer FROM orders WHERE o_orderkey % 8 IN (0, 1, 2, 5, 6, 7)""")(
+query("solution_integer", f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 IN (0, 3, 5) THEN CAST({N} AS VARCHAR) WHEN o_orderkey % 8 = 2 THEN '1' END AS answer FROM orders")(
     lambda spark, sf: P.rendered(spark, sf).select("id", A.final_integer(F.col("text")).alias("answer"))
 )
+RENDERED = f"""rendered AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS n, CASE o_orderkey % 8 WHEN 0 THEN 'We add up. \\boxed{{' || o_custkey || '}}' WHEN 1 THEN 'So \\boxed{{\\frac{{' || {N} * 2 || '}}{{2}}}} holds'
+  WHEN 2 THEN '\\boxed{{1}} then \\boxed{{' || o_custkey || '.0}}' WHEN 3 THEN '\\fbox{{' || format('{{:,}}', {N}) || '\\text{{ units}}}}' WHEN 4 THEN 'We get 3 + 4 = 7. The answer is ' || o_custkey || '.'
+  WHEN 5 THEN 'first 12' || chr(10) || 'then ' || o_custkey WHEN 6 THEN '\\boxed{{' || o_custkey || '/7}}' ELSE '\\boxed{{-' || o_custkey || ' cm^2}}' END AS text FROM orders)"""
+query("with_box", f"""WITH {RENDERED} SELECT id, md5(text || CASE WHEN id % 8 IN (3, 4, 5) THEN chr(10) || chr(10) || 'The final answer is \\boxed{{' || n || '}}.' ELSE '' END) AS boxed FROM rendered""")(
+    lambda spark, sf: P.rendered(spark, sf).select("id", F.md5(A.with_box(F.col("text"), F.col("truth"))).alias("boxed"))
+)
+query("model_tag", """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'model' ELSE regexp_replace(p_brand || ' ' || p_type, '[^A-Za-z0-9._-]', '_', 'g') END AS tag FROM part""")(
+    lambda spark, sf: P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), A.model_tag(F.when(F.col("p_partkey") % 3 == 0, "/").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("out/models/"), "p_brand", F.lit(" "), "p_type")).otherwise(F.concat("p_brand", F.lit(" "), "p_type", F.lit("//")))).alias("tag"))
+)
+_EARLY = "CASE o_orderkey % 4 WHEN 0 THEN 'It is ' || o_custkey || ', as' || repeat(' we see', 12) WHEN 1 THEN repeat('we see ', 12) || o_custkey WHEN 2 THEN 'Say 1.' || o_custkey || ' or ' || o_custkey || '7' || repeat(' we see', 30) ELSE 'n=' || o_custkey || '.5' || repeat(' we see', 12) END"
+query("early_answer", f"""WITH t AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS n, {_EARLY} AS text FROM orders)
+SELECT id, length(n) >= 3 AND regexp_matches(left(text, CAST(floor(length(text) * 0.25) AS BIGINT)), '(^|[^0-9.])' || n || '($|[^0-9.])') AS early FROM t""")(
+    lambda spark, sf: P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("n"), F.expr(_EARLY).alias("text")).select("id", A.early_answer(F.col("text"), F.col("n")).alias("early"))
+)
+query("generation_messages", """SELECT item_id AS id, 2 AS n, md5('You are a careful mathematician. You always finish with a final integer answer.') AS system,
+md5('Solve the following math problem step by step. The answer is a single integer. Put your final answer in \\boxed{}.' || chr(10) || chr(10) || coalesce(text, '')) AS "user" FROM benchmark""")(
+    lambda spark, sf: P.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), prompts.generation_messages(F.col("text")).alias("m")).select("id", F.size("m").alias("n"), F.md5(F.col("m")[0]["content"]).alias("system"), F.md5(F.col("m")[1]["content"]).alias("user"))
+)
+query("shown_answers", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '(none)' WHEN o_orderkey % 3 = 1 THEN '-' || o_custkey ELSE '(' || 3 * length(CAST(o_orderkey AS VARCHAR) || '0000000') || ' digits)' END AS shown FROM orders""")(
+    lambda spark, sf: P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), prompts.shown_answer(F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("-"), "o_custkey")).when(F.col("o_orderkey") % 3 == 2, F.concat(F.lit("-"), F.repeat(F.concat("o_orderkey", F.lit("0000000")), F.lit(3))))).alias("shown"))
+)
+query("token_budget", "SELECT doc_id AS id, CASE WHEN n_chars <= 500 THEN CAST(doc_id AS DOUBLE) / 2 ELSE -20.0 END AS orm FROM documents")(
+    lambda spark, sf: P.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), prompts.within_budget(F.col("n_chars"), 500, F.col("doc_id") / 2).alias("orm"))
+)
+query("external_solutions", f"""WITH {RENDERED}, x AS (SELECT id, 'How many are there in part ' || id || ' of the store' || repeat(', if any', id % 5) AS question, repeat('First we look closely at it. ', CAST(id % 7 AS INT)) || text AS solution FROM rendered),
+r AS (SELECT x.id, CASE WHEN NOT length(question) BETWEEN 40 AND 1200 THEN 'question_length' WHEN NOT length(solution) BETWEEN 60 AND 2400 THEN 'solution_length' WHEN NOT x.id % 8 IN (0, 2, 3, 5) THEN 'not_integer' WHEN x.id % 9 = 0 THEN 'held_out' END AS reason FROM x)
+SELECT coalesce(reason, 'taken') AS reason, count(*) AS n FROM r GROUP BY ALL""")(
+    lambda spark, sf: prep.external_solutions(_external(spark, sf), _external(spark, sf).where("id % 9 = 0"), solution=(60, 2400)).groupBy(F.coalesce("reason", F.lit("taken")).alias("reason")).agg(F.count("*").alias("n"))
+)
+
+
+def _external(spark, sf):
+    text = P.rendered(spark, sf)
+    question = F.concat(F.lit("How many are there in part "), "id", F.lit(" of the store"), F.repeat(F.lit(", if any"), (F.col("id") % 5).cast("int")))
+    return text.select("id", question.alias("question"), F.concat(F.repeat(F.lit("First we look closely at it. "), (F.col("id") % 7).cast("int")), "text").alias("solution"))
+
 
 # ---- audits and gates --------------------------------------------------------------------------------------------
 LABELS = "labels_ AS (SELECT id, id % 5 AS current, CASE WHEN id % 3 > 0 THEN id % 4 END AS suggested FROM gold)"
@@ -344,3 +393,35 @@ SELECT quantile_cont(margin, 0.5) AS median, max(margin) AS most FROM m""")(lamb
 query("log_odds", "SELECT event_id AS id, round(CASE WHEN event_id % 3 = 0 THEN -20.0 ELSE value / 10 END - (CASE WHEN event_id % 5 = 0 THEN -20.0 ELSE -value / 10 END), 4) AS orm FROM events")(
     lambda spark, sf: P.table(spark, sf, "events").select(F.col("event_id").alias("id"), metrics.log_odds(F.map_filter(F.create_map(F.lit("Yes"), F.when(F.col("event_id") % 3 != 0, F.col("value") / 10), F.lit("No"), F.when(F.col("event_id") % 5 != 0, -F.col("value") / 10)), lambda k, v: v.isNotNull())).alias("orm"))
 )
+
+query("kept_ids", f"WITH {DOCS} SELECT id, source FROM docs WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)")(lambda spark, sf: selection.only_ids(docs(spark, sf).select("id", "source"), P.table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))))
+query("question_lookup", "SELECT l.doc_id AS id, quality, md5(coalesce(b.text, '')) AS question FROM labels l LEFT JOIN benchmark b ON b.item_id = l.doc_id")(
+    lambda spark, sf: selection.with_question(P.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality"), P.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))).withColumn("question", F.md5("question"))
+)
+query("adopted_rows", f"""WITH {S.EV}, a AS (SELECT id, j, text FROM pool JOIN gold USING (id) WHERE ans = gold AND NOT trunc), b AS (SELECT id, j, score FROM pool WHERE trunc)
+SELECT id, j, text, CAST(NULL AS DOUBLE) AS score FROM a UNION ALL SELECT id, j, NULL, score FROM b""")(
+    lambda spark, sf: selection.with_adopted(ev(spark, sf)[0].join(ev(spark, sf)[1], "id").where("ans = gold AND NOT trunc").select("id", "j", "text"), ev(spark, sf)[0].where("trunc").select("id", "j", "score"))
+)
+query("repeated_correct", f"WITH {S.LI}, g AS (SELECT pool.id, j FROM pool JOIN gold USING (id) WHERE ans = gold) SELECT id, j FROM g WHERE id IN (SELECT id FROM g GROUP BY id HAVING count(*) >= 2)")(lambda spark, sf: selection.repeated_correct(*li(spark, sf)).select("id", "j"))
+query("audit_dead", f"WITH {S.LI}, maj AS ({S.RULES['majority']}), s AS ({S.SOLVED}) SELECT id, gold, answer AS our_maj, true AS dead FROM maj JOIN gold USING (id) JOIN s USING (id) WHERE n_correct = 0")(lambda spark, sf: audit.scope(*li(spark, sf), which="dead"))
+query("pair_gate", f"""WITH {S.EV}, r AS (SELECT id, CAST(ans = gold AS INT) AS label FROM pool JOIN gold USING (id) WHERE NOT trunc AND ans IS NOT NULL AND length(text) >= 4), m AS (SELECT id FROM r GROUP BY id HAVING min(label) < max(label))
+SELECT count(*) AS mixed, count(*) >= 20 AS ok FROM m""")(
+    lambda spark, sf: gates.pair_gate(selection.balanced_pairs(*ev(spark, sf), voting.majority(ev(spark, sf)[0]).select("id", F.lit(False).alias("maj_wrong")), min_chars=4), 20)
+)
+query("collapsed", f"""WITH e AS (SELECT count(DISTINCT answer) AS k FROM (SELECT o_custkey AS answer, row_number() OVER (PARTITION BY draw ORDER BY {S.drawn("'0'", 'draw', 'o_orderkey')}, o_orderkey) AS rn, draw FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders), (SELECT unnest(range(1, 6)) AS draw)) WHERE rn <= 800 GROUP BY draw),
+k AS (SELECT count(DISTINCT o_custkey % 50) AS kinds FROM orders) SELECT kinds, min(e.k) AS least, max(e.k) AS most, kinds < min(e.k) * 0.7 AS collapsed FROM k, e GROUP BY kinds""")(
+    lambda spark, sf: gates.collapsed(P.table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("answer")), gates.distinct_envelope(P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("answer")).distinct(), 800, 5))
+)
+query("length_mismatch", f"WITH {S.LI}, g AS (SELECT id, count(*) AS samples, count(*) FILTER (j % 5 < 4) AS scores FROM pool GROUP BY id) SELECT * FROM g WHERE samples <> scores")(
+    lambda spark, sf: gates.length_mismatch(li(spark, sf)[0].groupBy("id").agg(F.collect_list("text").alias("outputs")), li(spark, sf)[0].groupBy("id").agg(F.collect_list(F.when(F.col("j") % 5 < 4, F.col("score"))).alias("orm")))
+)
+query("submission_report", f"""WITH {S.LI}, {SUB}, bad AS (SELECT DISTINCT answer FROM sub WHERE answer IS NOT NULL AND NOT coalesce(regexp_full_match(regexp_replace(answer, '[-.]', '', 'g'), '\\d+') AND TRY_CAST(answer AS DOUBLE) = floor(TRY_CAST(answer AS DOUBLE)), false)),
+missing AS (SELECT DISTINCT id FROM gold WHERE id NOT IN (SELECT id FROM sub)), extra AS (SELECT DISTINCT id FROM sub WHERE id NOT IN (SELECT id FROM gold)),
+whole AS (SELECT CAST(TRY_CAST(answer AS DOUBLE) AS HUGEINT) AS v FROM sub WHERE answer IS NOT NULL AND answer NOT IN (FROM bad))
+SELECT 'columns' AS "check", 'ok' AS severity, CAST(0 AS BIGINT) AS n, '' AS examples
+UNION ALL SELECT 'missing_id', CASE WHEN count(*) > 0 THEN 'error' ELSE 'ok' END, count(*), (SELECT coalesce(string_agg(i, ',' ORDER BY i), '') FROM (SELECT CAST(id AS VARCHAR) AS i FROM missing ORDER BY id LIMIT 3)) FROM missing
+UNION ALL SELECT 'extra_id', CASE WHEN count(*) > 0 THEN 'error' ELSE 'ok' END, count(*), (SELECT coalesce(string_agg(i, ',' ORDER BY i), '') FROM (SELECT CAST(id AS VARCHAR) AS i FROM extra ORDER BY id LIMIT 3)) FROM extra
+UNION ALL SELECT 'not_integer', CASE WHEN count(*) > 0 THEN 'error' ELSE 'ok' END, count(*), (SELECT coalesce(string_agg(answer, ',' ORDER BY answer), '') FROM (SELECT answer FROM bad ORDER BY answer LIMIT 3)) FROM sub WHERE answer IN (FROM bad)
+UNION ALL SELECT 'range', 'info', NULL, min(v) || '..' || max(v) FROM whole""")(
+    lambda spark, sf: gates.submission_report(_sub(li(spark, sf)[1]), li(spark, sf)[1]).where("check IN ('columns', 'missing_id', 'extra_id', 'not_integer', 'range')")
+)

@@ -1,5 +1,7 @@
 """The same queries in SQL, for an independent engine on the same Parquet tables."""
 
+from ballotspark.functions import normal
+
 EV = """pool AS (
   SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS j,
     CASE WHEN event_type <> 'error' THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 5 END AS ans,
@@ -68,6 +70,46 @@ def drawn(*parts: str) -> str:
     return "md5(concat_ws(':', " + ", ".join(parts) + "))"
 
 
+def few(m: int, trials: int, rows: str = "pool") -> str:
+    """Of each id and trial m samples."""
+    order = drawn("'42'", "id", "trial", "j")
+    return f"few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, trial ORDER BY {order}, j) AS rn FROM {rows}, (SELECT unnest(range(1, {trials} + 1)) AS trial)) WHERE rn <= {m})"
+
+
+def drawn_number(below: str, *parts: str) -> str:
+    return f"(('0x' || left({drawn(*parts)}, 15))::BIGINT % {below})"
+
+
+#: The pool of events under the name `whole`, so that `pool` can be a part of it.
+EV_WHOLE = EV.replace("pool AS (", "whole AS (").replace("FROM pool)", "FROM whole)")
+LI_WHOLE = LI.replace("pool AS (", "whole AS (")
+BY_TRIAL = "by_ AS (SELECT id, trial, ans, count(*) AS n, avg(zs) AS mean_score, max(zs) AS max_score, avg(zl) AS mean_logp, max(zl) AS max_logp FROM few GROUP BY ALL)"
+
+
+def sampled(whole: str, m: int, trials: int) -> str:
+    """by_: answers of each trial with scores that are standardised over the whole id."""
+    return f"{whole}, pool AS ({zscore('logp', '(' + zscore('score', 'whole', 'zs') + ')', 'zl')}), {few(m, trials)}, {BY_TRIAL}"
+
+
+def sampled_pick(gamma: float, column: str, how: str) -> str:
+    weight = f"max_{column}" if gamma >= 1e8 else f"ln(n) + {gamma} * {how}_{column}"
+    return winner(f"SELECT id, trial, ans, {weight} AS weight FROM by_", keys="id, trial", ids="few")
+
+
+def _horner(c: list[float], x: str) -> str:
+    out = repr(c[0])
+    for k in c[1:]:
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+def normal_quantile(p: str) -> str:
+    tail, q = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5::DOUBLE)"
+    outer = f"({_horner([f * 1.0 for f in normal.C], tail)} / {_horner([*normal.D, 1.0], tail)})"
+    inner = f"({_horner(normal.A, f'({q} * {q})')} * {q} / {_horner([*normal.B, 1.0], f'({q} * {q})')})"
+    return f"CASE WHEN {p} < {normal.LOW} THEN {outer} WHEN {p} > 1 - {normal.LOW} THEN -{outer} ELSE {inner} END"
+
+
 SOLVED = "SELECT id, count(*) AS k, count(*) FILTER (ans = gold) AS n_correct FROM pool JOIN gold USING (id) GROUP BY id"
 POWERS = "SELECT m FROM (SELECT CAST(pow(2, unnest(range(10))) AS BIGINT) AS m) WHERE m <= (SELECT max(c) FROM (SELECT count(*) AS c FROM pool GROUP BY id))"
 CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"

@@ -1,7 +1,10 @@
 """Scans: CSV, JSON lines, JSON maps, globs, logs. Paths are any that Spark can read."""
 
 import json
+import warnings
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +39,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_first(spark: SparkSession, paths: list[str], table: str) -> DataFrame:
-    """The first of the files that is there; without any, no rows of the same schema."""
+    """The first of the files that is there and can be read, with a warning for those that can't; without any, no rows
+    of the same schema."""
     for path in paths:
         if exists(spark, path):
-            return read_csv(spark, path, table)
+            try:
+                df = read_csv(spark, path, table)
+                df.head(1)
+            except (AnalysisException, Py4JJavaError, PySparkException) as e:
+                warnings.warn(f"{path} can't be read: {str(e).splitlines()[0]}", stacklevel=2)
+                continue
+            return df
     return spark.createDataFrame([], SCHEMAS[table])
 
 
@@ -107,8 +117,8 @@ def _leaves(x, path: str):
             yield from _leaves(v, f"{path}.{k}" if path else str(k))
 
 
-def numbered(df: DataFrame, name: str, order: str | None = None) -> DataFrame:
-    """df with a column that counts its rows from 0, in the order of a column or of the scan. Rows are counted by
+def numbered(df: DataFrame, name: str, order: str | list[str] | None = None) -> DataFrame:
+    """df with a column that counts its rows from 0, in the order of columns or of the scan. Rows are counted by
     partition and only the partitions' offsets are added up, so nothing passes through one task."""
     rows = (df.sort(order) if order else df).withColumn("__at", F.monotonically_increasing_id())
     part = F.shiftright("__at", 33)
@@ -119,6 +129,12 @@ def numbered(df: DataFrame, name: str, order: str | None = None) -> DataFrame:
     return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__before")
 
 
+#: Other names of the columns, the first that a table has counts.
+QUESTION_NAMES = ("question", "problem", "text", "query")
+ID_NAMES = ("id", "idx", "index", "problem_id")
+ANSWER_NAMES = ("answer", "gold", "label", "target")
+
+
 def normalized_input(df: DataFrame, order: str | None = None) -> DataFrame:
     """(id, question, answer) of a table whose columns go by other names.
 
@@ -127,7 +143,7 @@ def normalized_input(df: DataFrame, order: str | None = None) -> DataFrame:
     """
     names = {c.lower(): c for c in df.columns}
     find = lambda *aliases: next((F.col(f"`{names[a]}`") for a in aliases if a in names), None)
-    question, ident, answer = find("question", "problem", "prompt", "text"), find("id", "idx", "index", "problem_id"), find("answer", "label", "gold", "target")
+    question, ident, answer = find(*QUESTION_NAMES), find(*ID_NAMES), find(*ANSWER_NAMES)
     if question is None:
         raise ValueError(f"no column for the question among {df.columns}")
     if ident is None:

@@ -13,9 +13,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One file with a header. For submissions and reports, which are small; larger tables go to Parquet."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").options(header=True, escape='"').csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, single: bool = True) -> None:
+    """One file with a header, for submissions and reports, which are small; with single=False as many files as the
+    table has partitions."""
+    rows = df.orderBy(*order) if order else df
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -36,3 +38,13 @@ def manifest(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def checksums(spark: SparkSession, glob: str) -> DataFrame:
     """(file, sha256) of whole files."""
     return spark.read.format("binaryFile").load(glob).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as a file of just this name, in any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
