@@ -52,7 +52,7 @@ def test_a_long_text_of_one_word(spark, docs):
 def test_without_broadcasts(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame(items_from(rows), "item_id long, text string")
     want = collected(D.report(docs, bench), "doc_id", "n_hit")
-    monkeypatch.setattr(D, "_small", lambda df, rows=0: df)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
     assert collected(D.report(docs, bench), "doc_id", "n_hit") == want
 
 
@@ -78,8 +78,37 @@ def test_other_columns_are_ignored(spark, docs, rows):
     assert D.clean(clash, bench).columns == clash.columns
 
 
+def test_one_index_for_many_benchmarks(spark, docs, rows):
+    postings = D.index(docs)
+    small = [r for r in rows if len(r[1] or "") < 5000]
+    for items in (items_from(rows), [(5, " ".join(split(rows[20][1])[:12]))], [(6, "absent words only here")]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r["doc_id"], str(r["item_id"])) for r in D.matches(postings, bench).collect() if r["doc_id"] != 9004}
+        assert got == {(i, x) for i, _, _, names, _ in brute(small, items) for x in names}
+
+
+def near(rows, items, span):
+    out = set()
+    for i, t in rows:
+        w = split(t)
+        for name, text in items:
+            need = set(split(text))
+            if name is not None and need and len(need) <= span:
+                out |= {(i, name, p) for p in range(len(w)) if w[p] in need and need <= set(w[p : p + span])}
+    return sorted(out, key=repr)
+
+
+def test_proximity_as_brute_force(spark, docs, rows):
+    small = [r for r in rows if len(r[1] or "") < 5000]
+    items = [(1, " ".join(split(rows[3][1])[5:9])), (2, " ".join(reversed(split(rows[10][1])[:6]))), (3, "one"), (4, "same text"), (5, None), (None, "one"), (6, " ".join(split(rows[3][1])[:25]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for span in (3, 8):
+        got = collected(D.proximity(D.index(docs.where("coalesce(length(text), 0) < 5000")), bench, span).select("doc_id", "item_id", "pos").distinct(), "doc_id", "item_id", "pos")
+        assert got == near(small, items, span)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b x x c"), (2, "c a b"), (3, "a b"), (4, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "b c a b")], "item_id long, text string")
-    assert collected(D.proximity(docs, bench, 6), "doc_id", "pos") == [(1, 0), (2, 0)]
-    assert collected(D.proximity(docs, bench, 4), "doc_id", "pos") == [(2, 0)]
+    assert collected(D.proximity(D.index(docs), bench, 6), "doc_id", "pos") == [(1, 0), (2, 0)]
+    assert collected(D.proximity(D.index(docs), bench, 4), "doc_id", "pos") == [(2, 0)]
