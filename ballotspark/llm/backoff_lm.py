@@ -29,8 +29,7 @@ PRIOR = 8.0
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all rows one after another, each row with its end; and where the rows end."""
-    starts, ends, row = B.word_ranges(data, at)
-    h = B.mix(B.range_hashes(B.prefix_hashes(data, B.LOWER_VALUES), starts, ends))
+    h, row = B.word_hashes(data, at)
     n = np.bincount(row, minlength=len(at) - 1)
     stop = np.cumsum(n + 1)
     out = np.full(stop[-1] if len(stop) else 0, END, np.uint64)

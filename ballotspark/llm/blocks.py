@@ -17,6 +17,8 @@ try:
     ctypes.CDLL(None).mallopt(-3, 4 << 20)
 except (AttributeError, OSError):  # another C library than glibc
     pass
+# Arrow's own pool keeps what it once had, in each Python worker beside the JVM; the system's gives it back.
+pa.set_memory_pool(pa.system_memory_pool())
 
 #: Fixed odd multiplier, 5 modulo 8, and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -110,3 +112,27 @@ def word_ranges(data: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE
     after[edges[edges > 0] - 1] = False
     ends = np.flatnonzero(of & ~after) + 1
     return starts, ends, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(starts, at)))
+
+
+#: Bytes of text that are hashed at once, so that tables by byte stay in cache.
+RUN = 1 << 17
+
+
+def runs(at: np.ndarray, most: int = RUN) -> Iterator[tuple[int, int]]:
+    """(low, high) of rows of about `most` bytes together; a longer one is a run of its own."""
+    low = 0
+    while low < len(at) - 1:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, A-Z lower-cased, and their row numbers."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in runs(at):
+        part = data[at[low] : at[high]]
+        starts, ends, row = word_ranges(part, at[low : high + 1] - at[low], inside)
+        hashes.append(mix(range_hashes(prefix_hashes(part, LOWER_VALUES), starts, ends)))
+        rows.append(row + low)
+    return np.concatenate(hashes), np.concatenate(rows)

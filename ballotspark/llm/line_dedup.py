@@ -148,7 +148,7 @@ def line_refs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     which has no key. Repeated rows count each; an empty table gives none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, at in B.doc_blocks(batches, 8 << 20):
+        for _, data, at in B.doc_blocks(batches):
             held = Counter()
             for text in _texts(data, at):
                 held.update({k for k in keys(text) if len(k) >= min_chars and (min_chars <= 1 or len(k.decode()) >= min_chars)})
@@ -298,7 +298,7 @@ def dedup(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(probe_of, shards)
-        for _, data, at in B.doc_blocks(batches, 4 << 20):
+        for _, data, at in B.doc_blocks(batches, 2 << 20):
             _, d = _digests(_texts(data, at))
             d = d[probe(d[:, 0], d[:, 1], _shards_of(d, shards))]
             yield pa.RecordBatch.from_arrays([_long(d[:, 0]), _long(d[:, 1])], ["hi", "lo"])
@@ -316,7 +316,7 @@ def dedup(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(probe_of, shards)
-        for rows, data, at in B.doc_blocks(batches, 4 << 20):
+        for rows, data, at in B.doc_blocks(batches, 2 << 20):
             texts = _texts(data, at)
             held, d = _digests(texts)
             drop = probe(d[:, 0], d[:, 1], _shards_of(d, shards))
