@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each remaining document, and text, what these ids decode to."""
-    out = sentencepiece_lattice.encode(docs, vocabulary_file(), with_text=True)
+    out = sentencepiece_lattice.encode(docs, vocabulary_file(), chunk_bytes=4 << 20, with_text=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
