@@ -1,14 +1,16 @@
 """Small numpy training tools that the two classifiers share."""
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotspark.llm.storage import written
 from ballotspark.llm.tables import fold_of
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, text, y, lang) of at most `most` labelled rows outside the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, most_bytes: int = 128 << 20) -> DataFrame:
+    """(doc_id, text, y, lang) of at most `most` labelled rows outside the held-out fold, and of so many of these, in
+    order of the hash, as have most_bytes of text together (one at least).
 
     The choice is by hash of the id, so it doesn't depend on the layout. Rows with a null id, label or text are left
     out; of repeated labels of an id the largest counts, of repeated documents the one whose text sorts first.
@@ -21,7 +23,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> Data
     )
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", lang.alias("lang")).join(F.broadcast(y), "doc_id")
-    return rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "y", "r.text", "r.lang")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "y", "r.text", "r.lang")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # numbers of at most `most` rows
+    rows = written(rows.withColumn("size", F.octet_length("text")), "labelled")
+    fits = rows.select(F.col("doc_id").alias("__id"), "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("upto")).where((F.col("upto") == 0) | (F.col("upto") + F.col("size") <= most_bytes))
+    return rows.join(F.broadcast(fits.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi").drop("size")
 
 
 class Adam:

@@ -88,6 +88,21 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray) -> dict:
     return {"x": x, "h": h, "t": t, "s": s, "a": a, "bag": bag, "z": z, "score": sigmoid(z @ p["c"] + p["c0"])}
 
 
+def gradients(p: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of these bags."""
+    f = forward(p, x, first)
+    ds = ((f["score"] - y) / len(first)).astype(f["score"].dtype)
+    dz = ds[:, None] * p["c"]
+    up = dz[f["bag"]]
+    dh, da = f["a"][:, None] * up, (f["h"] * up).sum(1)
+    dl = f["a"] * (da - np.add.reduceat(f["a"] * da, first)[f["bag"]])
+    dt = dl[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
+    du = dl[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+    dh += dt @ p["V"].T + du @ p["U"].T
+    pre = dh * (1 - f["h"] ** 2)
+    return {"c": f["z"].T @ ds, "c0": ds.sum(keepdims=True), "w": (f["t"] * f["s"]).T @ dl, "V": f["h"].T @ dt, "U": f["h"].T @ du, "W": f["x"].T @ pre, "b": pre.sum(0)}
+
+
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, batch: int = 128, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> dict:
     """Trained by Adam on the log loss; y is 0 or 1 by bag. Classes are not reweighted: a score is a probability."""
     rng = np.random.default_rng(seed)
@@ -103,17 +118,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
             bags = order[low : low + batch]
             size = last[bags] - first[bags]
             begin = np.cumsum(size) - size
-            f = forward(p, x[np.arange(size.sum()) + np.repeat(first[bags] - begin, size)], begin)
-            ds = ((f["score"] - y[bags]) / len(bags)).astype(np.float32)
-            dz = ds[:, None] * p["c"]
-            up = dz[f["bag"]]
-            dh, da = f["a"][:, None] * up, (f["h"] * up).sum(1)
-            dl = f["a"] * (da - np.add.reduceat(f["a"] * da, begin)[f["bag"]])
-            dt = dl[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
-            du = dl[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            dh += dt @ p["V"].T + du @ p["U"].T
-            pre = dh * (1 - f["h"] ** 2)
-            grads = {"c": f["z"].T @ ds, "c0": ds.sum(keepdims=True), "w": (f["t"] * f["s"]).T @ dl, "V": f["h"].T @ dt, "U": f["h"].T @ du, "W": f["x"].T @ pre, "b": pre.sum(0)}
+            grads = gradients(p, x[np.arange(size.sum()) + np.repeat(first[bags] - begin, size)], begin, y[bags])
             adam.step({k: g + decay * p[k] for k, g in grads.items()})
     return p
 
@@ -142,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> dict:
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted of every row of docs (doc_id, text; others are ignored).
 
-    Null and empty texts are one passage without words. Repeated rows each give a row; an empty table gives none.
+    Null and empty texts are one passage without words; long texts have as many passages as they need. Repeated rows
+    each give a row; an empty table gives none.
     """
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +165,11 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least the threshold. docs needs a column text."""
+    """The rows of docs, all columns, whose score is at least the threshold. docs needs a column text.
+
+    Null and empty texts are judged as one passage without words, long texts whole. Repeated rows stay or go together;
+    an empty table gives none.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in B.doc_blocks(batches):
