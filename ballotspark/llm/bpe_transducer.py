@@ -9,17 +9,20 @@ it, the last token and the count relative to the newest position; reading a char
 emits the change of the count (it may be negative when a longer piece replaces several). States are determinised as
 they are met and interned; a table that has grown too large is dropped and built again.
 
-A character which follows a space-free character and is itself a space starts afresh, because no piece has a space
-after another character: the state there is a constant. So the map of a chunk of text, from the state at its begin
-to its end state and count, has three parts: a head (up to that first restart) that depends on the entry state, a
-constant count, and a constant end state. Such maps compose associatively, and long texts are counted by composing
-the maps of their chunks with a prefix scan.
+A word's transitions from the restart before it, a space after another character, are compiled to one, which carries
+their count: no piece has a space after another character, so the state behind such a space is the same whatever came
+before. The map of a chunk of text takes each entry state to an end state and a count. It is tabulated for the state
+that the characters before the chunk lead to; from any other state only the chunk's head, up to its first restart, is
+read, since all that follows is a constant. Maps compose associatively: chunks of a long text are rows of their own,
+mapped in parallel, and their maps are composed by the up-sweep of a prefix scan.
 """
 
 import heapq
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 
@@ -128,19 +131,47 @@ class Vocabulary:
                 j += 1
 
 
+#: (suffix, last tokens by position, counts relative to the newest)
+State = tuple[str, tuple, tuple]
+
+#: Before a text's first character, and, for what is to come, before any restart.
+START: State = ("", (None,), (0,))
+
+#: Characters before a chunk that tell its likely entry state.
+LOOK = 256
+
+
+class ChunkMap(NamedTuple):
+    """From each state before a chunk to the state at its end and the count of its tokens."""
+
+    table: dict[State, tuple[State, int]]
+    #: What has to be read from states that the table lacks: all up to the first restart.
+    head: str
+    #: The count behind the head, and the end state; None where there is no restart.
+    count: int | None
+    end: State | None
+
+
 class Transducer:
-    """Lazily determinised; `start` is the state before a text's first character."""
+    """Lazily determinised; a table that has grown beyond most_states is dropped, within a word too."""
 
-    def __init__(self, vocabulary: Vocabulary, most_states: int = 200_000, most_units: int = 300_000):
-        self.v, self.most_states, self.most_units = vocabulary, most_states, most_units
-        self.units: dict[str, int] = {}
+    def __init__(self, vocabulary: Vocabulary, most_states: int = 200_000, most_words: int = 300_000):
+        self.v, self.most_states, self.most_words = vocabulary, most_states, most_words
+        self.words: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: (suffix, last tokens by position, counts relative to the newest)
-        self.states: list[tuple[str, tuple, tuple]] = [("", (None,), (0,))]
-        self.known = {self.states[0]: 0}
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.states: list[State] = []
+        self.known: dict[State, int] = {}
+        self.moves: list[dict[str, tuple[int, int]]] = []
+
+    def number(self, state: State) -> int:
+        at = self.known.get(state)
+        if at is None:
+            at = self.known[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        return at
 
     def step(self, state: int, c: str) -> tuple[int, int]:
         """Compile one transition: the next state and the emitted count."""
@@ -162,78 +193,85 @@ class Transducer:
         if keep == 0 or (suffix and text == c and suffix[-1] + c not in v.inner):
             before = (None, *before[1:])  # nothing that began earlier can matter
         key = (text, before, tuple(x - count for x in counts[-keep - 1 :]))
-        to = self.known.get(key)
-        if to is None:
-            to = self.known[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        out = self.moves[state][c] = (to, count)
+        out = self.moves[state][c] = (self.number(key), count)
         return out
 
-    def run(self, text: str, state: int = 0) -> tuple[int, int]:
+    def read(self, text: str, state: State = START) -> tuple[State, int]:
         """End state and emitted count of a text read from a state."""
-        total, moves = 0, self.moves
+        at, total = self.number(state), 0
         for c in text:
-            move = moves[state].get(c)
-            state, n = move if move is not None else self.step(state, c)
+            move = self.moves[at].get(c)
+            if move is None:
+                if len(self.states) > self.most_states:
+                    state = self.states[at]
+                    self.reset()
+                    at = self.number(state)
+                move = self.step(at, c)
+            at, n = move
             total += n
-        return state, total
+        return self.states[at], total
 
-    def unit(self, text: str) -> int:
-        """The count of a run of spaces with the characters up to the next space, read from the start."""
-        n = self.units.get(text)
+    def word(self, text: str) -> int:
+        """What the transitions of a word, the spaces before it included, emit together."""
+        n = self.words.get(text)
         if n is None:
-            if len(self.states) > self.most_states:
-                self.reset()
-            if len(self.units) > self.most_units:
-                self.units.clear()
-            n = self.run(text)[1]
+            if len(self.words) > self.most_words:
+                self.words.clear()
+            n = self.read(text)[1]
             if len(text) < 64:
-                self.units[text] = n
+                self.words[text] = n
         return n
 
-    # Maps of chunks: (head, count, tail). Without a restart inside, (head, None, None).
+    def chunk_map(self, chunk: str, before: str) -> ChunkMap:
+        """before: the last LOOK characters before the chunk, or all where there are fewer."""
+        words = _WORDS.findall(chunk)
+        rest = (sum(map(self.word, words[1:])), self.read(words[-1])[0]) if len(words) > 1 else (None, None)
+        out = ChunkMap({}, words[0], *rest)
+        self.apply(out, self.read(_WORDS.findall(before)[-1])[0] if before else START)
+        return out
 
-    def chunk_map(self, chunk: str, first: bool) -> tuple[str, int | None, str | None]:
-        """first: the chunk begins a text. Else all up to its first space after another character belongs to the
-        unit that an earlier chunk began."""
-        units = _UNITS.findall(chunk)
-        if first:
-            return ("", sum(map(self.unit, units[:-1])), units[-1])
-        # A chunk that begins with spaces may continue the spaces that end the chunk before.
-        if len(units) == 1:
-            return (units[0], None, None)
-        return (units[0], sum(map(self.unit, units[1:-1])), units[-1])
+    def apply(self, m: ChunkMap, state: State) -> tuple[State, int]:
+        found = m.table.get(state)
+        if found is None:
+            end, n = self.read(m.head, state)
+            found = m.table[state] = (end, n) if m.end is None else (m.end, n + m.count)
+        return found
 
-    def compose(self, a: tuple, b: tuple) -> tuple:
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """First a, then b."""
-        (h1, n1, t1), (h2, n2, t2) = a, b
-        if n1 is None:
-            whole = h1 + h2
-            if n2 is None:
-                return (whole, None, None)
-            parts = _UNITS.findall(whole)
-            return (parts[0], sum(map(self.unit, parts[1:])) + n2, t2)
-        parts = _UNITS.findall(t1 + h2)
-        if n2 is None:
-            return (h1, n1 + sum(map(self.unit, parts[:-1])), parts[-1])
-        return (h1, n1 + sum(map(self.unit, parts)) + n2, t2)
-
-    def count(self, text: str, chunk: int = 1 << 16) -> int:
-        """Tokens of a text, as the library gives them for the whole text."""
-        if not text:
-            return 0
-        text = SPACE + text.replace(" ", SPACE)
-        if len(text) <= chunk:
-            return sum(map(self.unit, _UNITS.findall(text)))
-        maps = [self.chunk_map(text[k : k + chunk], k == 0) for k in range(0, len(text), chunk)]
-        while len(maps) > 1:  # the up-sweep of a prefix scan: the last prefix is what is asked for
+        table = {}
+        for state, (middle, n) in a.table.items():
+            end, more = self.apply(b, middle)
+            table[state] = (end, n + more)
+        if a.end is None:
+            return ChunkMap(table, a.head + b.head, b.count, b.end)
+        end, more = self.apply(b, a.end)
+        return ChunkMap(table, a.head, a.count + more, end)
+
+    def scan(self, maps: list[ChunkMap]) -> int:
+        """The count of a text from its chunks' maps: the up-sweep of a prefix scan, as only the last prefix is asked for."""
+        while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        _, n, tail = maps[0]
-        return n + self.unit(tail)
+        return self.apply(maps[0], START)[1]
+
+    def count(self, text: str) -> int:
+        """Tokens of a text, as the library gives them for the whole text."""
+        return sum(map(self.word, _WORDS.findall(spaced(text)))) if text else 0
+
+
+def spaced(text: str) -> str:
+    """As pieces are written: a mark for each space and one before the text."""
+    return SPACE + text.replace(" ", SPACE)
+
+
+def chunks(text: str, size: int) -> Iterator[tuple[str, str]]:
+    """Each chunk of a text that isn't empty, and the characters before it."""
+    text = spaced(text)
+    for low in range(0, len(text), size):
+        yield text[low : low + size], text[max(0, low - LOOK) : low]
 
 
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @lru_cache(2)
@@ -242,10 +280,11 @@ def transducer(model_file: str) -> Transducer:
     return Transducer(Vocabulary(model_file))
 
 
-def count_tokens(docs, model_file: str, limit: int = 4096):
-    """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored).
+def count_tokens(docs, model_file: str, limit: int = 4096, chunk: int = 1 << 16):
+    """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored, whatever their names).
 
-    Null and empty texts have 0 tokens; repeated rows each give a row; an empty table gives none.
+    Null and empty texts have 0 tokens; repeated rows, and rows that share a doc_id, each give a row; an empty table
+    gives none. Texts of more than `chunk` characters are dealt out in chunks of that size, with the same result.
     """
     from pyspark.sql import functions as F
 
@@ -259,6 +298,36 @@ def count_tokens(docs, model_file: str, limit: int = 4096):
                     [part.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array([t.count(x) for x in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
                 )
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, text = batch.slice(k, 1), batch.column(1)[k].as_py()
+                n_bytes = len(text.encode())
+                for no, (piece, before) in enumerate(chunks(text, chunk)):
+                    yield pa.RecordBatch.from_arrays(
+                        [one.column(2), pa.array([no], pa.int64()), one.column(0), pa.array([n_bytes], pa.int64()), pa.array([piece]), pa.array([before])],
+                        ["row", "no", "doc_id", "n_bytes", "piece", "before"],
+                    )
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(model_file)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                made = [pickle.dumps(tuple(t.chunk_map(*x))) for x in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(made, pa.binary())], ["row", "no", "doc_id", "n_bytes", "map"])
+
+    def composed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("no")
+        n = transducer(model_file).scan([ChunkMap(*pickle.loads(x)) for x in group["map"].to_pylist()])
+        return group.slice(0, 1).select(["doc_id", "n_bytes"]).append_column("n_tokens", pa.array([n], pa.int64()))
+
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text").mapInArrow(counts, f"doc_id {kind}, n_bytes long, n_tokens long")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    short = rows.where(~is_long).select("doc_id", "text").mapInArrow(counts, f"doc_id {kind}, n_bytes long, n_tokens long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that small chunks aren't put together again
+    pieces = rows.where(is_long).mapInArrow(cut, f"row long, no long, doc_id {kind}, n_bytes long, piece string, before string").repartition(parts, "row", "no")
+    mapped = pieces.mapInArrow(maps, f"row long, no long, doc_id {kind}, n_bytes long, map binary")
+    out = short.unionByName(mapped.groupBy("row").applyInArrow(composed, f"doc_id {kind}, n_bytes long, n_tokens long"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

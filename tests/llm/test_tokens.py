@@ -28,12 +28,31 @@ def test_counts_are_the_librarys(library, model_file):
 def test_chunk_maps_compose(library, model_file):
     t = T.Transducer(T.Vocabulary(model_file))
     for size in (1, 2, 7, 50):
-        assert [t.count(x, size) for x in odd_texts()[:200]] == [len(library.encode(x)) for x in odd_texts()[:200]]
+        for x in filter(None, odd_texts()[:200]):
+            maps = [t.chunk_map(*c) for c in T.chunks(x, size)]
+            assert t.scan(maps) == len(library.encode(x))
+
+
+def test_chunk_maps_hold_for_any_entry_state(library, model_file):
+    """With no character before them to go by, maps still take every state to where reading goes; any bracketing does."""
+    t, rnd = T.Transducer(T.Vocabulary(model_file)), random.Random(2)
+    for x in filter(None, odd_texts()[:200]):
+        maps = [t.chunk_map(c, "") for c, _ in T.chunks(x, 5)]
+        assert t.scan(maps) == len(library.encode(x))
+        while len(maps) > 1:
+            k = rnd.randrange(len(maps) - 1)
+            maps[k : k + 2] = [t.compose(maps[k], maps[k + 1])]
+        whole = T.spaced(x)
+        assert t.apply(maps[0], T.START) == t.read(whole)
+        entry = t.read("▁anoth")[0]
+        assert t.apply(maps[0], entry) == t.read(whole, entry)
 
 
 def test_small_tables(library, model_file):
-    t = T.Transducer(T.Vocabulary(model_file), most_states=10, most_units=10)
+    t = T.Transducer(T.Vocabulary(model_file), most_states=10, most_words=10)
     assert [t.count(x) for x in odd_texts()[:100]] == [len(library.encode(x)) for x in odd_texts()[:100]]
+    assert t.count("abcdefghij" * 400) == len(library.encode("abcdefghij" * 400))
+    assert len(t.states) <= 12
 
 
 def test_pairs_are_stable_as_merging_says(model_file):
@@ -49,6 +68,13 @@ def test_count_table(docs, rows, library, model_file, none):
     assert T.count_tokens(none, model_file).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 100])
+def test_texts_in_chunks_of_other_tasks(docs, rows, library, model_file, chunk):
+    few = docs.where("doc_id is null or doc_id < 40 or (doc_id > 9000 and doc_id <> 9004)")
+    got = collected(T.count_tokens(few, model_file, chunk=chunk), "doc_id", "n_bytes", "n_tokens")
+    assert got == sorted(((i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in rows if i is None or i < 40 or (i > 9000 and i != 9004)), key=repr)
+
+
 def test_encoding_and_decoding(docs, rows, library, model_file):
     got = P.decode(P.encode(docs.withColumn("ids", F.lit(1)).withColumn("chunk", F.lit("x")), model_file, 1 << 14), model_file)
     assert sorted(((r["doc_id"], list(r["ids"]), r["text"]) for r in got.collect()), key=repr) == sorted(((i, library.encode(t or ""), library.decode(library.encode(t or ""))) for i, t in rows), key=repr)
