@@ -16,6 +16,7 @@ Characters that are no piece are words of their own and become their bytes' piec
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 from zlib import crc32
 
@@ -33,8 +34,12 @@ from ballotspark.llm.storage import written
 
 _MARK = SPACE.encode()
 BITS = 20
-#: Words above this many characters without a place to cut are folded outside Spark, where positions cost no copy.
+#: Bits of a piece's length in an edge.
+LENGTH_BITS = 8
+#: Words above this many bytes go to the lattice in segments of so many characters, under a name.
 LONG = 1024
+#: Edges that the fold takes between two cuts of its state.
+STEP = 256
 #: Rows of the piece table that may be broadcast.
 MOST_PIECES = 1 << BITS
 
@@ -42,8 +47,8 @@ MOST_PIECES = 1 << BITS
 @lru_cache(2)
 def vocabulary(model_file: str) -> Vocabulary:
     v = Vocabulary(model_file)
-    if len(v.id) + len(v.byte_id) + 16 > MOST_PIECES or any(c not in v.id for p in v.id for c in p):
-        raise ValueError("a vocabulary of under 2**20 pieces is needed, with each character of a piece a piece itself")
+    if len(v.id) + len(v.byte_id) + 16 > MOST_PIECES or v.longest >> LENGTH_BITS or any(c not in v.id for p in v.id for c in p):
+        raise ValueError("a vocabulary of under 2**20 pieces of under 256 characters is needed, with each character of a piece a piece itself")
     return v
 
 
@@ -112,10 +117,28 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nd
     return flat[np.arange(n.sum()) + np.repeat(start[which] - np.cumsum(n) + n, n)]
 
 
+def name(word: bytes) -> bytes:
+    """What a word is called in joins and groups: itself, or its digest if it is long. No word is of the form of a
+    digest, as NUL is no piece and so is a word of its own."""
+    return word if len(word) <= LONG else b"\0" + sha256(word).hexdigest().encode()
+
+
+def segments(word: bytes, longest: int) -> Iterator[tuple[str, int, int, str]]:
+    """(name, first position, positions, text) of a word's segments; text goes on for what pieces that start in the
+    segment can reach."""
+    text = word.decode().replace(" ", SPACE)
+    if len(word) <= LONG:
+        yield text, 0, len(text), text
+        return
+    called = name(word).decode()
+    for low in range(0, len(text), LONG):
+        yield called, low, min(LONG, len(text) - low), text[low : low + LONG + longest - 1]
+
+
 def _by_part(found: list[bytes], parts: int) -> list[list[bytes]]:
     out: list[list[bytes]] = [[] for _ in range(parts)]
     for w in found:
-        out[crc32(w) % parts].append(w)
+        out[crc32(name(w)) % parts].append(w)
     return out
 
 
@@ -134,24 +157,27 @@ def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
 
 
 def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to: int) -> DataFrame:
-    """(word, ids) of a table of distinct words (word), cut as `words` does. Grouping needs no second shuffle: words
-    are dealt out once and stay where their substrings are."""
+    """(word, ids) of a table of the segments of distinct words (word, base, n, text), cut as `words` and `segments`
+    do. Grouping needs no second shuffle: words are dealt out once and stay where their substrings are."""
     spark = distinct.sparkSession
     pieces = piece_table(spark, v)
-    dealt = distinct.repartition(dealt_to, "word")
-    at = dealt.withColumn("n", F.length("word")).where(F.col("n") <= LONG).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    sub = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.col("n") - F.col("s"))))).withColumn("piece", F.expr("substring(word, s + 1, l)"))
-    code = F.shiftleft((F.col("s") + F.col("l")).cast("long"), 2 * BITS) + F.shiftleft(F.col("s").cast("long"), BITS) + F.col("id")
+    at = distinct.repartition(dealt_to, "word").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sub = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("text") - F.col("s"))))).withColumn("piece", F.expr("substring(text, s + 1, l)"))
+    end = (F.col("base") + F.col("s") + F.col("l")).cast("long")
+    code = F.shiftleft(end, LENGTH_BITS + BITS) + F.shiftleft(F.col("l").cast("long"), BITS) + F.col("id")
     lattice = sub.join(F.broadcast(pieces), "piece").select("word", code.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    mask = (1 << BITS) - 1
+    mask, most = (1 << BITS) - 1, (1 << LENGTH_BITS) - 1
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("array<array<bigint>>")
     def stable(edges: pa.Array) -> pa.Array:
+        """For each STEP edges of a word: the pairs of edges that may follow each other, whose second is among them."""
         voc, names = vocabulary(model_file), piece_names(model_file)
         e = edges.flatten().to_numpy()
-        at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(edges)))])
-        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        start, end, ident = (e >> BITS) & mask, e >> (2 * BITS), e & mask
+        held = np.asarray(pc.list_value_length(edges)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(held)])
+        of = np.repeat(np.arange(len(held)), held)
+        end, ident = e >> (LENGTH_BITS + BITS), e & mask
+        start = end - ((e >> BITS) & most)
         size = int(end.max()) + 1 if len(e) else 1
         order = np.argsort(of * size + start, kind="stable")
         key = (of * size + start)[order]
@@ -162,16 +188,31 @@ def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to:
         pairs = (ident[left] << BITS) | ident[right]
         one, inverse = np.unique(pairs, return_inverse=True)
         good = np.fromiter((voc.stable(names[p >> BITS], names[p & mask]) for p in one.tolist()), bool, len(one))[inverse]
-        count = np.bincount(of[left[good]], minlength=len(at) - 1)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(pairs[good]))
-
-    # back pointers by position, id << BITS | start; the begin of the word has -1. An edge is end << 2 BITS | start << BITS | id.
-    at, ident = f"cast(shiftright(x, {BITS}) & {mask} as int)", f"(x & {mask})"
-    fold = f"""aggregate(edges, array(-1L), (back, x) ->
-      if(size(back) = shiftright(x, {2 * BITS}) and (shiftright(x, {BITS}) & {mask} = 0 or array_contains(stable, (get(back, {at}) & {mask << BITS}L) + {ident})),
-         array_append(back, shiftleft({ident}, {BITS}) + (shiftright(x, {BITS}) & {mask})), back))"""
-    trace = f"""aggregate(back, named_struct('p', size(back) - 1, 'ids', cast(array() as array<int>)), (t, i) ->
-      if(t.p > 0, named_struct('p', cast(get(back, t.p) & {mask} as int), 'ids', array_append(t.ids, cast(shiftright(get(back, t.p), {BITS}) as int))), t), t -> reverse(t.ids))"""
+        steps = np.concatenate([[0], np.cumsum(-(-held // STEP))])
+        step = steps[of] + (np.arange(len(e)) - at[of]) // STEP
+        where = step[right[good]]
+        by_step = pairs[good][np.argsort(where, kind="stable")]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=steps[-1]))])
+        return pa.ListArray.from_arrays(pa.array(steps.astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(by_step)))
+
+    # A back pointer, for each position: id << LENGTH_BITS | length; the begin of the word has -1. An edge is
+    # end << LENGTH_BITS + BITS | length << BITS | id. The state is the last pointers, from position `low` on, and those
+    # that are done, by step; so a position costs the same in a word of any length.
+    length, ident = f"(shiftright(x, {BITS}) & {most})", f"(x & {mask})"
+    start = f"(shiftright(x, {LENGTH_BITS + BITS}) - {length})"
+    left = f"(shiftright(get(back, cast({start} - a.low as int)), {LENGTH_BITS}))"
+    fold = f"""aggregate(sequence(0, size(stable) - 1), named_struct('low', 0L, 'last', array(-1L), 'done', array(array(-1L))), (a, k) ->
+      aggregate(slice(edges, k * {STEP} + 1, {STEP}), a.last, (back, x) ->
+        if(a.low + size(back) = shiftright(x, {LENGTH_BITS + BITS}) and ({start} = 0 or array_contains(get(stable, k), shiftleft({left}, {BITS}) + {ident})),
+           array_append(back, shiftleft({ident}, {LENGTH_BITS}) + {length}), back),
+        back -> named_struct('low', a.low + greatest(0, size(back) - {v.longest}), 'last', slice(back, greatest(1, size(back) - {v.longest - 1}), {v.longest}),
+                             'done', array_append(a.done, slice(back, size(a.last) + 1, size(back) - size(a.last))))),
+      a -> flatten(a.done))"""
+    trace = f"""aggregate(sequence(0, (size(back) - 2) div {STEP}), named_struct('p', size(back) - 1, 'done', array(cast(array() as array<int>))), (a, k) ->
+      aggregate(slice(back, 1, least({STEP}, a.p)), named_struct('p', a.p, 'ids', cast(array() as array<int>)), (t, i) ->
+        if(t.p > 0, named_struct('p', t.p - cast(get(back, t.p) & {most} as int), 'ids', array_append(t.ids, cast(shiftright(get(back, t.p), {LENGTH_BITS}) as int))), t),
+        t -> named_struct('p', t.p, 'done', array_append(a.done, reverse(t.ids)))),
+      a -> flatten(reverse(a.done)))"""
     known = lattice.withColumn("stable", stable("edges")).select("word", F.expr(fold).alias("back")).select("word", F.expr(trace).alias("ids"))
     fallback = F.array(*(F.lit(v.byte_id[b]) for b in range(256)))
     raw = F.encode(F.col("word"), "utf-8")
@@ -185,20 +226,6 @@ def piece_names(model_file: str) -> dict[int, str]:
     return {i: p for p, i in vocabulary(model_file).id.items()}
 
 
-def fold_long(v: Vocabulary, word: str) -> list[int]:
-    """The same fold for one very long word."""
-    last, begin = [None], [0]
-    for e in range(1, len(word) + 1):
-        s = next(s for s in range(max(0, e - v.longest), e) if (p := word[s:e]) in v.id and v.stable(last[s], p))
-        last.append(word[s:e])
-        begin.append(s)
-    out, e = [], len(word)
-    while e:
-        out.append(v.id[last[e]])
-        e = begin[e]
-    return out[::-1]
-
-
 def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, ids (the library's encoding of the whole text) of each row of docs (doc_id, text); with_text: and text,
     what these ids decode to, as `decode` gives it, without another pass through Python.
@@ -222,9 +249,9 @@ def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, w
         seen: set[bytes] = set()
         for data, sizes in zip(table["words"].to_pylist(), table["sizes"].to_pylist(), strict=True):
             seen.update(_unpacked(data, sizes))
-        return ((w.decode().replace(" ", SPACE),) for w in seen)
+        return (row for w in seen for row in segments(w, v.longest))
 
-    known = encode_words(C.answer(asked, distinct, "word string", parts), v, model_file, 2 * parts).withColumn("part", F.pmod(F.crc32(F.encode(F.replace("word", F.lit(SPACE), F.lit(" ")), "utf-8")), F.lit(parts)).cast("int"))
+    known = encode_words(C.answer(asked, distinct, "word string, base int, n int, text string", parts), v, model_file, 2 * parts).withColumn("part", F.pmod(F.crc32(F.encode(F.replace("word", F.lit(SPACE), F.lit(" ")), "utf-8")), F.lit(parts)).cast("int"))
     reply = C._arrow("chunk long, part int, ids binary, sizes binary")
 
     def answers(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -235,12 +262,8 @@ def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, w
         rows = []
         for chunk, part, data, sizes in zip(*(left[c].to_pylist() for c in ("chunk", "part", "words", "sizes")), strict=True):
             found = _unpacked(data, sizes)
-            which = np.array([of.get(w, -1) for w in found], np.int64)
-            if (which >= 0).all():
-                got, n = gathered(flat, start, size, which), size[which]
-            else:
-                lists = [flat[start[k] : start[k] + size[k]] if k >= 0 else np.array(fold_long(vocabulary(model_file), w.decode().replace(" ", SPACE))) for k, w in zip(which, found, strict=True)]
-                got, n = np.concatenate(lists), np.array([len(x) for x in lists])
+            which = np.array([of[name(w)] for w in found], np.int64)
+            got, n = gathered(flat, start, size, which), size[which]
             rows.append({"chunk": chunk, "part": part, "ids": C.pack_small(got), "sizes": C.pack_small(n)})
         return pa.Table.from_pylist(rows, reply)
 

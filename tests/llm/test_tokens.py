@@ -88,11 +88,23 @@ def test_odd_texts_round_trip(spark, library, model_file):
         assert r["text"] == t.replace("▁", " ")
 
 
-def test_words_without_a_cut(spark, library, model_file, monkeypatch):
-    """Beyond LONG the fold runs outside Spark, with the same result."""
-    monkeypatch.setattr(P, "LONG", 40)
-    df = spark.createDataFrame([(1, "ha" * 90), (2, "internationalisation " * 3 + "a" * 41)], "doc_id long, text string")
-    assert {r["doc_id"]: list(r["ids"]) for r in P.encode(df, model_file).collect()} == {1: library.encode("ha" * 90), 2: library.encode("internationalisation " * 3 + "a" * 41)}
+def test_words_without_a_cut(spark, library, model_file):
+    """Words of several segments and steps are folded in the lattice as others are."""
+    rnd, n = random.Random(3), P.LONG
+    texts = ["ha" * 9000, "a" * n, "a" * (n + 1), "a" * (3 * n), "internationalisation" * 200 + " tail", " " * 3000, "".join(rnd.choice("aeinrst") for _ in range(30_000)), "a" * (n + 1) + " " + "a" * (n + 1)]
+    texts += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH+/") for _ in range(20_000)), "\0" + P.name(b"a" * (n + 1)).decode(), "и" * 2000 + "ß"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.decode(P.encode(df, model_file), model_file).collect():
+        assert list(r["ids"]) == library.encode(texts[r["doc_id"]]), r["doc_id"]
+        assert r["text"] == texts[r["doc_id"]]
+
+
+def test_segments_cover_a_word(model_file):
+    longest = P.vocabulary(model_file).longest
+    word = bytes(97 + k % 26 for k in range(5 * P.LONG + 7))
+    parts = list(P.segments(word, longest))
+    assert len({p[0] for p in parts}) == 1 and sum(p[2] for p in parts) == len(word)
+    assert {(base + s, text[s : s + longest]) for _, base, n, text in parts for s in range(n)} == {(s, word[s : s + longest].decode()) for s in range(len(word))}
 
 
 def test_decode_any_ids(spark, library, model_file):
