@@ -123,12 +123,12 @@ def name(word: bytes) -> bytes:
     return word if len(word) <= LONG else b"\0" + sha256(word).hexdigest().encode()
 
 
-def segments(word: bytes, longest: int) -> Iterator[tuple[str, int, int, str]]:
+def segments(word: bytes, longest: int) -> Iterator[tuple[str, int | None, int | None, str | None]]:
     """(name, first position, positions, text) of a word's segments; text goes on for what pieces that start in the
-    segment can reach."""
+    segment can reach. A word that is its own name has it only once, with nulls."""
     text = word.decode().replace(" ", SPACE)
     if len(word) <= LONG:
-        yield text, 0, len(text), text
+        yield text, None, None, None
         return
     called = name(word).decode()
     for low in range(0, len(text), LONG):
@@ -161,7 +161,9 @@ def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to:
     do. Grouping needs no second shuffle: words are dealt out once and stay where their substrings are."""
     spark = distinct.sparkSession
     pieces = piece_table(spark, v)
-    at = distinct.repartition(dealt_to, "word").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = distinct.repartition(dealt_to, "word")
+    whole = dealt.select("word", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("n", F.length("word")).alias("n"), F.coalesce("text", "word").alias("text"))
+    at = whole.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     sub = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("text") - F.col("s"))))).withColumn("piece", F.expr("substring(text, s + 1, l)"))
     end = (F.col("base") + F.col("s") + F.col("l")).cast("long")
     code = F.shiftleft(end, LENGTH_BITS + BITS) + F.shiftleft(F.col("l").cast("long"), BITS) + F.col("id")
