@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballotspark.sources.schemas import SCHEMAS
+from ballotspark.sources.sinks import scratch
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -119,8 +120,15 @@ def _leaves(x, path: str):
 
 def numbered(df: DataFrame, name: str, order: str | list[str] | None = None) -> DataFrame:
     """df with a column that counts its rows from 0, in the order of columns or of the scan. Rows are counted by
-    partition and only the partitions' offsets are added up, so nothing passes through one task."""
-    rows = (df.sort(order) if order else df).withColumn("__at", F.monotonically_increasing_id())
+    partition and only the partitions' offsets are added up, so nothing passes through one task.
+
+    The placed rows are written to the scratch folder at once: a second run of the sort may cut its partitions at other
+    rows, and offsets of one run don't fit the places of another.
+    """
+    placed = (df.sort(order) if order else df).withColumn("__at", F.monotonically_increasing_id())
+    path = scratch(df.sparkSession, "numbered")
+    placed.write.option("compression", "zstd").parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
     part = F.shiftright("__at", 33)
     counts = rows.groupBy(part.alias("__part")).count()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
@@ -146,10 +154,10 @@ def normalized_input(df: DataFrame, order: str | None = None) -> DataFrame:
     question, ident, answer = find(*QUESTION_NAMES), find(*ID_NAMES), find(*ANSWER_NAMES)
     if question is None:
         raise ValueError(f"no column for the question among {df.columns}")
+    rows = df.select(*([F.col(order).alias("__order")] if order and ident is None else []), (F.lit(None) if ident is None else ident).cast("string").alias("id"), question.cast("string").alias("question"), (F.lit(None) if answer is None else answer).cast("string").alias("answer"))
     if ident is None:
-        df = numbered(df, "__ordinal", order)
-        ident = F.format_string("t-%06d", F.col("__ordinal"))
-    return df.select(ident.cast("string").alias("id"), question.cast("string").alias("question"), (F.lit(None) if answer is None else answer).cast("string").alias("answer"))
+        rows = numbered(rows, "__ordinal", "__order" if order else None).withColumn("id", F.format_string("t-%06d", "__ordinal"))
+    return rows.select("id", "question", "answer")
 
 
 def long_samples(generations: DataFrame, verifier: DataFrame | None = None) -> DataFrame:

@@ -61,6 +61,13 @@ def test_normalized_input(spark):
         readers.normalized_input(df.select("n"))
 
 
+def test_made_ids_of_many_rows(spark):
+    """So many that the sort samples its bounds; each run of it draws others."""
+    df = spark.range(0, 60_000, 1, 8).select(F.xxhash64("id").alias("n"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("text"))
+    got = [r["id"] for r in readers.normalized_input(df, "n").join(df, F.col("question") == F.col("text")).orderBy("n").select("id").collect()]
+    assert got == [f"t-{k:06d}" for k in range(60_000)]
+
+
 def test_long_samples(spark):
     g = spark.createDataFrame([("a", ["x", "y"], None, [0.5]), ("b", [], None, None)], "id string, outputs array<string>, trunc array<boolean>, logp array<double>")
     v = spark.createDataFrame([("a", [1.5])], "id string, orm array<double>")
