@@ -233,3 +233,11 @@ def test_hot_id_moves_by_answer(spark):
     plan = voting.fused(p)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
     assert voting.fused(p).count() == 500
+
+
+def test_shards_of_many_rows(spark):
+    """So many that the sort samples its bounds: the parts have every row once, and sizes that differ by one at most."""
+    rows = spark.range(0, 60_001, 1, 8).withColumn("source", F.md5(F.col("id").cast("string")))
+    parts = [{r["id"] for r in selection.shard(rows, i, 4).collect()} for i in range(4)]
+    order = [r["id"] for r in rows.orderBy(metrics.drawn("42", F.col("id")), "id").collect()]
+    assert parts == [set(order[i::4]) for i in range(4)]
