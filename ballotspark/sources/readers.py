@@ -94,8 +94,10 @@ def read_arms(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, n: int, noise: str) -> DataFrame:
-    """The last n lines that the pattern `noise` doesn't match, in order."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(~F.col("value").rlike(noise))
+    """The last n lines that the pattern `noise` doesn't match, in order. Files go by name; a scan takes them by size, so
+    a line's place is its file, where its piece of the file begins, and its number in the scan, which counts in a piece."""
+    places = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")
+    lines = spark.read.text(path).select("value", F.struct(*places).alias("line")).where(~F.col("value").rlike(noise))
     return lines.orderBy(F.desc("line")).limit(n).orderBy("line").select("line", "value")
 
 

@@ -54,6 +54,19 @@ def test_log_tail(spark, tmp_path):
     assert [r["value"] for r in readers.log_tail(spark, path, 2, "^noise").collect()] == ["b", "c"]
 
 
+def test_log_tail_of_several_files(spark, tmp_path):
+    """The last file is the largest, which a scan takes first, and is read in pieces."""
+    put(tmp_path, "1.log", "a\nb\n")
+    put(tmp_path, "2.log", "".join(f"line {k}\n" for k in range(5000)) + "noise\n")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        got = [r["value"] for r in readers.log_tail(spark, str(tmp_path), 5001, "^noise").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert got == ["b", *(f"line {k}" for k in range(5000))]
+
+
 def test_normalized_input(spark):
     df = spark.createDataFrame([(1, "q1", "5"), (2, "q2", None)], "n int, Problem string, GOLD string")
     assert [tuple(r) for r in readers.normalized_input(df, "n").orderBy("id").collect()] == [("t-000000", "q1", "5"), ("t-000001", "q2", None)]
