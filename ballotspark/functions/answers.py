@@ -214,13 +214,12 @@ def extract_or_fallback(text: Column, fallback: str = "0") -> Column:
 def final_integer(text: Column) -> Column:
     """Key of an external solution's answer: its first box if that is an integer of up to 17 digits, nothing else if it
     has a box; else the only integer of its last line."""
-    box = first_box(text)
-    inside = trimmed(F.regexp_replace(box, r"[,$]", ""))
-    line = F.regexp_extract(trimmed(text), r"(?U)([^\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]*)\z", 1)
+    short = lambda v: _let(v, lambda s: F.when(F.regexp_like(s, F.lit(r"^-?\d{1,17}\z")), integer_key(s)))
+    # cut at line ends: a pattern for what stands before the end is tried from every place of the lines ahead of it
+    line = F.element_at(F.split(trimmed(text), r"[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), -1)
     tokens = F.regexp_extract_all(line, F.lit(r"-?\d[\d,]*"), F.lit(0))
-    only = F.when(F.size(tokens) == 1, F.replace(F.get(tokens, F.lit(0)), F.lit(","), F.lit("")))
-    short = lambda s: F.when(F.regexp_like(s, F.lit(r"^-?\d{1,17}\z")), integer_key(s))
-    return F.when(box.isNotNull(), short(inside)).otherwise(short(only))
+    only = _let(tokens, lambda t: F.when(F.size(t) == 1, F.replace(F.get(t, F.lit(0)), F.lit(","), F.lit(""))))
+    return _let(first_box(text), lambda box: F.when(box.isNotNull(), short(trimmed(F.regexp_replace(box, r"[,$]", "")))).otherwise(short(only)))
 
 
 def with_box(text: Column, key: Column) -> Column:
