@@ -127,16 +127,16 @@ def numbered(df: DataFrame, name: str, order: str | list[str] | None = None) ->
     The placed rows are written to the scratch folder at once: a second run of the sort may cut its partitions at other
     rows, and offsets of one run don't fit the places of another.
     """
-    placed = (df.sort(order) if order else df).withColumn("__at", F.monotonically_increasing_id())
+    placed = (df.sort(order) if order else df).withColumn("__row", F.monotonically_increasing_id())
     path = scratch(df.sparkSession, "numbered")
     placed.write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(placed.schema).parquet(path)
-    part = F.shiftright("__at", 33)
+    part = F.shiftright("__row", 33)
     counts = rows.groupBy(part.alias("__part")).count()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     out = rows.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__before")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__row").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 #: Other names of the columns, the first that a table has counts.

@@ -241,3 +241,13 @@ def test_shards_of_many_rows(spark):
     parts = [{r["id"] for r in selection.shard(rows, i, 4).collect()} for i in range(4)]
     order = [r["id"] for r in rows.orderBy(metrics.drawn("42", F.col("id")), "id").collect()]
     assert parts == [set(order[i::4]) for i in range(4)]
+
+
+def test_numbered_keeps_its_column(spark):
+    """Whatever the column is called, it is there and counts from 0; a filter needs no column that was dropped."""
+    from ballotspark.sources.readers import numbered
+
+    rows = spark.range(0, 1_000, 1, 5).select((999 - F.col("id")).alias("id"))
+    for name in ("__at", "__part", "n"):
+        out = numbered(rows, name, ["id"])
+        assert out.columns == ["id", name] and out.where(F.col(name) != F.col("id")).isEmpty() and out.count() == 1_000
