@@ -267,6 +267,8 @@ def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, w
             which = np.array([of[name(w)] for w in found], np.int64)
             got, n = gathered(flat, start, size, which), size[which]
             rows.append({"chunk": chunk, "part": part, "ids": C.pack_small(got), "sizes": C.pack_small(n)})
+        del of
+        C.give_back()
         return pa.Table.from_pylist(rows, reply)
 
     replies = asked.repartition(parts, "part").groupBy("part").cogroup(known.repartition(parts, "part").groupBy("part")).applyInArrow(answers, "chunk long, part int, ids binary, sizes binary")

@@ -115,3 +115,16 @@ def test_decode_any_ids(spark, library, model_file):
 
 def test_empty_table(none, model_file):
     assert P.encode(none, model_file).count() == 0
+
+
+def test_workers_give_memory_back():
+    """What a chunk's work has freed goes back to the system, also below something that is still held."""
+    import psutil
+
+    from ballotspark.llm import chunks as C
+
+    held = [bytes(3000) for _ in range(50_000)]
+    last, used = held[-1], psutil.Process().memory_info().rss
+    del held
+    C.give_back()
+    assert len(last) == 3000 and psutil.Process().memory_info().rss < used - 100_000_000
