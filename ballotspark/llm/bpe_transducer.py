@@ -108,10 +108,11 @@ class Vocabulary:
         if known is None:
             if len(self._stable) > 150_000:
                 self._stable.clear()
-            known = self._stable[key] = self._apart(left, right)
+            known = self._stable[key] = self.apart(left, right)
         return known
 
-    def _apart(self, left: str, right: str) -> bool:
+    def apart(self, left: str, right: str) -> bool:
+        """`stable` of two pieces that another may span, worked out."""
         (mine, _, lasts), (theirs, firsts, _) = self.history(left), self.history(right)
         if lasts[-1] != left or firsts[-1] != right:
             return False  # not even alone

@@ -2,7 +2,7 @@
 
 A text is cut into words where no piece can span: before a space that follows another character, and between any two
 characters that stand side by side in no piece. Each distinct word of the corpus is encoded once: its substrings up to
-the longest piece are exploded and equi-joined to the piece table, the matches are the lattice's edges, edges are
+the longest piece that starts with the same four characters are exploded and equi-joined to the piece table, the matches are the lattice's edges, edges are
 grouped by word, and a higher-order aggregate folds the Viterbi recursion over them from left to right.
 
 The vocabulary is of the BPE kind, whose encoding isn't the path of best total score; on its scores plain Viterbi
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -40,8 +41,12 @@ LENGTH_BITS = 8
 LONG = 1024
 #: Edges that the fold takes between two cuts of its state.
 STEP = 256
+#: Characters that tell how long a piece at a position can be.
+HEAD = 4
 #: Rows of the piece table that may be broadcast.
 MOST_PIECES = 1 << BITS
+#: Pairs of pieces that a worker keeps.
+MOST_PAIRS = 1 << 20
 
 
 @lru_cache(2)
@@ -61,6 +66,13 @@ def words(v: Vocabulary, unit: str) -> list[str]:
     return [*out, unit[low:]]
 
 
+def unit_words(v: Vocabulary, unit: bytes) -> list[bytes]:
+    text = unit.decode().replace(" ", SPACE)
+    if v.inner.issuperset(map(add, text, text[1:])):
+        return [unit]
+    return [w.encode().replace(_MARK, b" ") for w in words(v, text)]
+
+
 @lru_cache(2)
 def joints(model_file: str) -> np.ndarray:
     """For two bytes side by side, spaces being spaces: whether a piece may span them. Exact between ASCII characters;
@@ -107,7 +119,7 @@ class Cut:
         first[self.number[::-1]] = np.arange(len(start))[::-1]
         units = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         # the units' words: bytes, with spaces as spaces
-        self.units = [(u,) if u.isascii() else [w.encode().replace(_MARK, b" ") for w in words(v, u.decode().replace(" ", SPACE))] for u in units]
+        self.units = [(u,) if u.isascii() else unit_words(v, u) for u in units]
         self.words = list(dict.fromkeys(chain.from_iterable(self.units)))
 
 
@@ -156,6 +168,39 @@ def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(v.id), "id": pa.array(list(v.id.values()), pa.int32())}))
 
 
+def heads(spark: SparkSession, v: Vocabulary) -> DataFrame:
+    """(head, most): how long the longest piece is that starts so; shorter pieces than `HEAD` start no row."""
+    most: dict[str, int] = {}
+    for p in v.id:
+        if len(p) >= HEAD:
+            most[p[:HEAD]] = max(most.get(p[:HEAD], 0), len(p))
+    return spark.createDataFrame(pa.table({"head": pa.array(list(most), pa.string()), "most": pa.array(list(most.values()), pa.int32())}))
+
+
+#: The pairs a worker knows by model, sorted, and whether they are stable.
+_PAIRS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def stable_pairs(model_file: str, pairs: np.ndarray) -> np.ndarray:
+    """`Vocabulary.stable` of sorted distinct pairs, first id << BITS | second id."""
+    known, good = _PAIRS.get(model_file, (np.zeros(0, np.int64), np.zeros(0, bool)))
+    at = np.searchsorted(known, pairs)
+    new = np.ones(len(pairs), bool)
+    if len(known):
+        new = known[np.minimum(at, len(known) - 1)] != pairs
+    out = np.zeros(len(pairs), bool)
+    out[~new] = good[at[~new]]
+    if new.any():
+        v, names, mask = vocabulary(model_file), piece_names(model_file), (1 << BITS) - 1
+        both = ((names[p >> BITS], names[p & mask]) for p in pairs[new].tolist())
+        out[new] = [a[-1] + b[0] not in v.inner or v.apart(a, b) for a, b in both]
+        if len(known) + new.sum() > MOST_PAIRS:
+            _PAIRS[model_file] = pairs, out
+        else:
+            _PAIRS[model_file] = np.insert(known, at[new], pairs[new]), np.insert(good, at[new], out[new])
+    return out
+
+
 def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to: int) -> DataFrame:
     """(word, ids) of a table of the segments of distinct words (word, base, n, text), cut as `words` and `segments`
     do. Grouping needs no second shuffle: words are dealt out once and stay where their substrings are."""
@@ -163,8 +208,9 @@ def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to:
     pieces = piece_table(spark, v)
     dealt = distinct.repartition(dealt_to, "word")
     whole = dealt.select("word", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("n", F.length("word")).alias("n"), F.coalesce("text", "word").alias("text"))
-    at = whole.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    sub = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("text") - F.col("s"))))).withColumn("piece", F.expr("substring(text, s + 1, l)"))
+    at = whole.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("head", F.expr(f"substring(text, s + 1, {HEAD})"))
+    at = at.join(F.broadcast(heads(spark, v)), "head", "left").select("word", "base", "text", "s", F.least(F.coalesce("most", F.lit(HEAD - 1)), F.length("text") - F.col("s")).alias("most"))
+    sub = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.col("most")))).withColumn("piece", F.expr("substring(text, s + 1, l)"))
     end = (F.col("base") + F.col("s") + F.col("l")).cast("long")
     code = F.shiftleft(end, LENGTH_BITS + BITS) + F.shiftleft(F.col("l").cast("long"), BITS) + F.col("id")
     lattice = sub.join(F.broadcast(pieces), "piece").select("word", code.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
@@ -173,7 +219,6 @@ def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to:
     @F.arrow_udf("array<array<bigint>>")
     def stable(edges: pa.Array) -> pa.Array:
         """For each STEP edges of a word: the pairs of edges that may follow each other, whose second is among them."""
-        voc, names = vocabulary(model_file), piece_names(model_file)
         e = edges.flatten().to_numpy()
         held = np.asarray(pc.list_value_length(edges)).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(held)])
@@ -189,7 +234,7 @@ def encode_words(distinct: DataFrame, v: Vocabulary, model_file: str, dealt_to:
         right = order[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
         pairs = (ident[left] << BITS) | ident[right]
         one, inverse = np.unique(pairs, return_inverse=True)
-        good = np.fromiter((voc.stable(names[p >> BITS], names[p & mask]) for p in one.tolist()), bool, len(one))[inverse]
+        good = stable_pairs(model_file, one)[inverse]
         steps = np.concatenate([[0], np.cumsum(-(-held // STEP))])
         step = steps[of] + (np.arange(len(e)) - at[of]) // STEP
         where = step[right[good]]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -128,3 +129,29 @@ def test_workers_give_memory_back():
     del held
     C.give_back()
     assert len(last) == 3000 and psutil.Process().memory_info().rss < used - 100_000_000
+
+
+def test_heads_bound_every_piece(spark, model_file):
+    """A position's substrings are exploded up to what its first characters allow, no longer."""
+    v = P.vocabulary(model_file)
+    most = {r["head"]: r["most"] for r in P.heads(spark, v).collect()}
+    assert all(len(p) <= most.get(p[: P.HEAD], P.HEAD - 1) for p in v.id)
+    text = "▁international"
+    assert sum(min(most.get(text[k : k + P.HEAD], P.HEAD - 1), len(text) - k) for k in range(len(text))) < 0.8 * len(text) * (len(text) + 1) / 2
+
+
+def test_pairs_are_worked_out_once(model_file, monkeypatch):
+    v = P.vocabulary(model_file)
+    ids = np.array(sorted(v.id.values()))[:: len(v.id) // 60]
+    pairs = np.sort((ids[:, None] << P.BITS | ids).ravel())
+    names = P.piece_names(model_file)
+    want = [v.stable(names[p >> P.BITS], names[p & (1 << P.BITS) - 1]) for p in pairs.tolist()]
+    for most in (1 << 20, 1000):
+        monkeypatch.setattr(P, "MOST_PAIRS", most)
+        monkeypatch.setattr(P, "_PAIRS", {})
+        for part in (slice(0, None, 3), slice(1, None, 2), slice(None)):
+            assert P.stable_pairs(model_file, pairs[part]).tolist() == want[part]
+    monkeypatch.setattr(P, "MOST_PAIRS", 1 << 20)
+    P.stable_pairs(model_file, pairs)
+    monkeypatch.setattr(v, "apart", None)
+    assert P.stable_pairs(model_file, pairs[::5]).tolist() == want[::5]
