@@ -38,3 +38,14 @@ def test_each_stage_returns_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes
         docs = out
+
+
+def test_heaps_are_given_back_before_a_stage_and_before_its_result(spark):
+    """Whole collections of the JVM, which runs the tasks here too."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: next(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs, counts = table(spark, SF, "documents"), [whole()]
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF)
+        counts.append(whole())
+    assert all(b - a >= 2 for a, b in zip(counts[:-1], counts[1:], strict=True))
