@@ -14,7 +14,7 @@ Which pairs are stable is a property of the vocabulary, worked out once for each
 Characters that are no piece are words of their own and become their bytes' pieces.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ballotspark.llm import blocks as B
 from ballotspark.llm import chunks as C
 from ballotspark.llm.bpe_transducer import SPACE, Vocabulary
-from ballotspark.llm.storage import written
+from ballotspark.llm.storage import drop, written
 
 _MARK = SPACE.encode()
 BITS = 20
@@ -273,9 +273,10 @@ def piece_names(model_file: str) -> dict[int, str]:
     return {i: p for p, i in vocabulary(model_file).id.items()}
 
 
-def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, with_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, with_text: bool = False, between: Callable[[], None] | None = None) -> DataFrame:
     """doc_id, ids (the library's encoding of the whole text) of each row of docs (doc_id, text); with_text: and text,
-    what these ids decode to, as `decode` gives it, without another pass through Python.
+    what these ids decode to, as `decode` gives it, without another pass through Python. between: called when the words
+    are encoded, written then, and the texts not yet.
 
     Null and empty texts have no ids. Repeated rows each give a row; other columns are ignored; an empty table gives
     none.
@@ -318,6 +319,11 @@ def encode(docs: DataFrame, model_file: str, chunk_bytes: int = C.CHUNK_BYTES, w
 
     replies = asked.repartition(parts, "part").groupBy("part").cogroup(known.repartition(parts, "part").groupBy("part")).applyInArrow(answers, "chunk long, part int, ids binary, sizes binary")
 
+    if between:
+        replies = written(replies, "piece-replies", "uncompressed")
+        drop(asked)
+        between()
+
     def finish(chunk, table: pa.Table) -> pa.Table:
         _, rows, data, at = chunk
         cut = Cut(model_file, data, at)

@@ -3,7 +3,7 @@
 import sentencepiece
 
 import corpus_pipeline
-from ballotspark.llm import quality_mil
+from ballotspark.llm import quality_mil, storage
 from ballotspark.llm.tables import table
 from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_jaccard import brute as near
@@ -49,3 +49,12 @@ def test_heaps_are_given_back_before_a_stage_and_before_its_result(spark):
         stage(spark, docs, SF)
         counts.append(whole())
     assert all(b - a >= 2 for a, b in zip(counts[:-1], counts[1:], strict=True))
+
+
+def test_heaps_are_given_back_between_words_and_texts(spark, monkeypatch):
+    """By the last stage three times; the words' encoding is written by then, and what was asked is gone."""
+    calls, kept = [], set(storage._WRITTEN)
+    new = lambda: [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._WRITTEN if p not in kept and "/piece-" in p]
+    monkeypatch.setattr(corpus_pipeline, "give_back_heaps", lambda _: calls.append(new()))
+    corpus_pipeline.pieces(spark, table(spark, SF, "documents"), SF)
+    assert calls == [[], ["piece-replies"], ["piece-replies"]]
